@@ -91,29 +91,6 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def labelled_sample(docs: DataFrame, keep: Column, group: Column, per_group: int, longest: int) -> list:
-    """At most per_group rows of each group, chosen by a hash of the id, for fitting a model on the driver.
-
-    The bound is per_group rows and `longest` characters a row. Ids are ranked
-    first, without texts; then only the chosen rows' texts are read.
-    """
-    eligible = docs.filter(keep & F.col("text").isNotNull() & (F.length("text").between(1, longest)))
-    ids = eligible.select(group.alias("g"), F.col("doc_id"), F.xxhash64("doc_id").alias("h"))
-    counts = {r["g"]: r["n"] for r in ids.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = F.when(group == F.lit(value), F.lit(min(1.0, 1.15 * per_group / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = eligible.filter(unit < share).select("doc_id", "text", group.alias("g")).collect()
-    rows.sort(key=lambda r: (str(r["g"]), r["doc_id"], r["text"]))
-    kept, seen = [], {}
-    for r in rows:
-        seen[r["g"]] = seen.get(r["g"], 0) + 1
-        if seen[r["g"]] <= per_group:
-            kept.append(r)
-    return kept
-
-
 class Shared:
     """A broadcast of a driver-side model of bounded size; `get` gives the worker's copy."""
 

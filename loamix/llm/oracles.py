@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
+from loamix.llm.spotsigs import pattern
+
 SQL = {
     "op5_line_dedup": r"""
 WITH lines AS (
@@ -104,4 +106,32 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
        sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
 """,
+    "op9_spotsigs": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS following
+  FROM documents
+  WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, coalesce(text, ''))),
+texts AS (
+  SELECT doc_id, text, following, text[1:length(text) - length(text) // 2] || following[1:length(text) // 2] AS edited FROM docs),
+sets AS (
+  SELECT x AS t, list_sort(list_distinct(list_filter(list_transform(range(1, len(s)), lambda i:
+           CASE WHEN contains(s[i], ' ') THEN
+             substr(md5(string_split(s[i], ' ')[-2] || ' ' || string_split(s[i], ' ')[-1] || ' ' || string_split(s[i + 1], ' ')[-1]), 1, 8)
+           END), lambda z: z IS NOT NULL))) AS sigs
+  FROM (SELECT x, regexp_extract_all(
+          CASE WHEN w = '' THEN '^ ~' ELSE '^ ' || w || ' ~' END, 'ANCHORED') AS s
+        FROM (SELECT x, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS w
+              FROM (SELECT text AS x FROM texts UNION SELECT edited FROM texts UNION SELECT following FROM texts)))),
+joined AS (
+  SELECT doc_id, length(text) AS n, text, edited, following, a.sigs AS a, b.sigs AS b, c.sigs AS c
+  FROM texts JOIN sets a ON a.t = text JOIN sets b ON b.t = edited JOIN sets c ON c.t = following)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+       CASE WHEN len(a) = 0 AND len(b) = 0 THEN (text = edited)::INT::DOUBLE
+            ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+       CASE WHEN len(a) = 0 AND len(c) = 0 THEN (text = following)::INT::DOUBLE
+            ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
+FROM joined
+""".replace("ANCHORED", pattern()),
 }

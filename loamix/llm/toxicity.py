@@ -29,12 +29,12 @@ from loamix.llm.common import Shared, fold
 from loamix.llm.sampling import sample
 
 PER_CLASS = 4000
-LONGEST = 8000
+LONGEST = 40_000
 GRAMS = (3, 4, 5)
 PLACES = 1 << 20
 #: Places that take part at most, and the least chi-square of one.
 MOST_FEATURES = 20_000
-LEAST_CHI = 10.0
+LEAST_CHI = 24.0
 #: Characters hashed at a time; n-grams across the cut are seen by an overlap.
 BLOCK = 1 << 20
 
@@ -90,11 +90,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, penalty: float = 2e-3) -
     empty = np.zeros(PLACES, np.float32)
     if len(set(y.tolist())) < 2:
         return Model(empty, 0.0, float(y.mean()) if len(y) else 0.5)
-    sets = [np.unique(hashes(t)) for t, _ in rows]
     n1, n0 = y.sum(), len(y) - y.sum()
     with1, with0 = np.zeros(PLACES), np.zeros(PLACES)
-    for s, label in zip(sets, y):
-        (with1 if label else with0)[s] += 1
+    for (text, _), label in zip(rows, y):
+        (with1 if label else with0)[np.unique(hashes(text))] += 1
     both = with1 + with0
     expected = both * n1 / (n1 + n0)
     chi = (with1 - expected) ** 2 / np.maximum(expected * (n0 / (n1 + n0)) * (1 - both / (n1 + n0)), 1e-9)
@@ -105,9 +104,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, penalty: float = 2e-3) -
     number = np.full(PLACES, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     index, owner = [], []
-    for i, s in enumerate(sets):
-        f = number[s]
-        f = f[f >= 0]
+    for i, (text, _) in enumerate(rows):  # hashed again, as all sets at once would take too much memory
+        f = number[hashes(text)]
+        f = np.unique(f[f >= 0])
         index.append(f)
         owner.append(np.full(len(f), i, np.int32))
     index, owner = np.concatenate(index), np.concatenate(owner)

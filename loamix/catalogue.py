@@ -1,4 +1,9 @@
 """All registered queries of the library and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from loamix.plans import cleaning, describing
+
+MODULES = (cleaning, describing)
+QUERIES: dict = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -19,30 +19,37 @@ def terms(text: Column) -> Column:
     return F.split(F.trim(F.lower(text)), r"\s+")
 
 
-def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, dl: one row per chunk and term."""
-    words = chunks.select(key, F.size(terms(F.col(text))).alias("dl"), F.explode(terms(F.col(text))).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def lengths(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return chunks.select(key, F.size(terms(F.col(text))).alias("dl"))
+
+
+def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf: one row per chunk and term; only: a bounded table of the terms wanted."""
+    words = chunks.select(key, F.explode(terms(F.col(text))).alias("term"))
+    if only is not None:
+        words = words.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, key, score, rank: best chunks for each query by BM25 with a floor for negative weights.
 
-    queries (query_id, text) is the bounded side: its terms, with their number
-    of uses, meet the postings; statistics come from all chunks, whatever is
-    filtered later. Only positive scores count; ties fall to the smaller key.
+    queries (query_id, text) is the bounded side: only postings of its terms are
+    built, each term with its number of uses. Statistics come from all chunks
+    and terms, made distinct within a chunk so that one shuffle counts them.
+    Only positive scores count; ties fall to the smaller key.
     """
-    post = postings(chunks, key, text)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
+    df = chunks.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = lengths(chunks, key, text).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = df.crossJoin(F.broadcast(n)).withColumn("raw", raw)
     mean = weighted.agg(F.avg("raw").alias("mean_raw"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw"))
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weights = asked.join(weighted, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "qtf", "avgdl", idf.alias("idf"))
+    found = postings(chunks, key, text, asked).join(lengths(chunks, key, text), key)
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weights.join(post, "term").groupBy("query_id", key).agg(F.round(F.sum(gain), 6).alias("score")).filter("score > 0")
+    scored = weights.join(found, "term").groupBy("query_id", key).agg(F.round(F.sum(gain), 6).alias("score")).filter("score > 0")
     return ranked(scored, [F.col("score").desc(), F.col(key)], top)
 
 

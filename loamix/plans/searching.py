@@ -168,9 +168,9 @@ SQL = {
                 sum((score >= -7.0)::INT) OVER (PARTITION BY query_id) AS above, max(abs(score)) OVER (PARTITION BY query_id) = 0 AS zero
               FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id)),
         n AS (SELECT *, greatest(least(3, total), above) AS n FROM p),
-        g AS (SELECT query_id, first(gap ORDER BY gap DESC, pos) AS gap, first(pos ORDER BY gap DESC, pos) AS at FROM n WHERE pos > 3 AND pos <= n GROUP BY query_id)
+        g AS (SELECT query_id, first(gap ORDER BY gap DESC, pos) AS gap, first(pos ORDER BY gap DESC, pos) AS spot FROM n WHERE pos > 3 AND pos <= n GROUP BY query_id)
         SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM n LEFT JOIN g USING (query_id)
-        WHERE zero OR pos <= least(CASE WHEN g.gap >= 2.0 THEN at - 1 ELSE n END, 8)""",
+        WHERE zero OR pos <= least(CASE WHEN g.gap >= 2.0 THEN spot - 1 ELSE n END, 8)""",
     "q_demote": f"""WITH {BM25}, f AS (SELECT query_id, doc_id, rank, doc_id % 3 = 0 AS f FROM best WHERE rank <= 10),
         l AS (SELECT *, f AND max(f::INT) OVER (PARTITION BY query_id) <> min(f::INT) OVER (PARTITION BY query_id) AS late FROM f)
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS new_rank FROM l""",

@@ -31,21 +31,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as many as were asked for."""
+    """Powers of BASE and of its inverse modulo 2**64, as many as were asked for; kept while a task runs."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, BLOCK)
+            size = max(n, 2 * len(self.up), 4096)
             ups, downs = np.full(size, BASE, np.uint64), np.full(size, UNBASE, np.uint64)
             ups[0] = downs[0] = 1
             self.up, self.down = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
         return self.up, self.down
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+POWERS = Powers()
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts raw[at[i]:at[i + 1]], in order, and the number of words of each text."""
     n = len(raw)
     if not n:
@@ -57,7 +60,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.nda
     inner = at[(at > 0) & (at < n)]
     first[inner], last[inner - 1] = True, True
     starts, ends = np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
-    up, down = powers.get(n)
+    up, down = POWERS.get(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[raw] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
@@ -80,14 +83,14 @@ def pieces(raw: np.ndarray) -> list[np.ndarray]:
 
 def words_by_text(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """Each text's word hashes, hashed in blocks of about BLOCK bytes."""
-    powers, i = Powers(), 0
+    i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1)
         if at[j] - at[i] > BLOCK:
             parts = pieces(raw[at[i] : at[j]])
-            yield np.concatenate([word_hashes(p, np.array([0, len(p)]), powers)[0] for p in parts])
+            yield np.concatenate([word_hashes(p, np.array([0, len(p)]))[0] for p in parts])
         else:
-            hashes, counts = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i], powers)
+            hashes, counts = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             ends = np.cumsum(counts)
             for a, b in zip((ends - counts).tolist(), ends.tolist()):
                 yield hashes[a:b]

@@ -133,5 +133,5 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
        CASE WHEN len(a) = 0 AND len(c) = 0 THEN (text = following)::INT::DOUBLE
             ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
 FROM joined
-""".replace("ANCHORED", pattern()),
+""".replace("ANCHORED", pattern(possessive=False)),
 }

@@ -44,9 +44,24 @@ def anchor_words() -> list[str]:
     return sorted(set(ANCHORS.split()))
 
 
-def pattern() -> str:
-    """A content word with the common words before it; each common word has its space, so longer words don't match."""
-    return "(?:(?:" + "|".join(["\\^", *anchor_words()]) + ") )*[^ ]+"
+def factored(words: list[str]) -> str:
+    """An expression for any of the words that decides letter by letter."""
+    if words == [""]:
+        return ""
+    heads = sorted({w[0] for w in words if w})
+    parts = [h + factored([w[1:] for w in words if w[:1] == h]) for h in heads]
+    if "" in words:
+        return "(?:" + "|".join(parts) + ")?"
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def pattern(possessive: bool = True) -> str:
+    """A content word with the common words before it; each common word has its space, so longer words don't match.
+
+    A word follows in any case, so giving back common words is never needed;
+    possessive, the expression runs without recursion however many there are.
+    """
+    return "(?:(?:\\^|" + factored(anchor_words()) + ") )*" + "+" * possessive + "[^ ]+"
 
 
 def segments(text: Column) -> Column:
@@ -55,31 +70,34 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(framed, F.lit(pattern()), F.lit(0))
 
 
-def signatures(parts: Column) -> Column:
-    """Sorted distinct signatures of a text's segments. parts: a column, not an expression, as it is used twice."""
+def joined_signatures(parts: Column) -> Column:
+    """Sorted distinct signatures of a text's segments, joined. parts: a column, not an expression, as it is used twice."""
 
     def one(x: Column, y: Column) -> Column:
         word = F.substring_index(x, " ", -1)
-        anchor = F.substring_index(F.substring_index(x, " ", -2), " ", 1)
-        chain = F.concat_ws(" ", anchor, word, F.coalesce(F.substring_index(y, " ", -1), F.lit(END)))
+        chain = F.concat_ws(" ", F.substring_index(x, " ", -2), F.coalesce(F.substring_index(y, " ", -1), F.lit(END)))
         return F.when((F.instr(x, " ") > 0) & (word != END), F.substring(F.md5(chain.cast("binary")), 1, 8))
 
     chains = F.zip_with(parts, F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), one)
-    return F.array_sort(F.array_distinct(F.filter(chains, lambda s: s.isNotNull())))
+    return F.array_join(F.sort_array(F.array_distinct(F.filter(chains, lambda s: s.isNotNull()))), "")
 
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """Jaccard similarity of two signature sets; of two empty ones, 1 where the texts are equal."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.when(equal, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
-        shared / (F.size(a) + F.size(b) - shared)
-    )
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a text column's fingerprint; the segments stand in a projection of their own."""
+    parts = f"{name}_parts"
+    return df.withColumn(parts, segments(F.col(text))).withColumn(name, joined_signatures(F.col(parts))).drop(parts)
 
 
-def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with a text column's signature set; the segments stand in a projection of their own."""
-    parts = f"{name}_parts"
-    return df.withColumn(parts, segments(F.col(text))).withColumn(name, signatures(F.col(parts))).drop(parts)
+def signatures(fingerprint: Column) -> Column:
+    return F.regexp_extract_all(fingerprint, F.lit(".{8}"), F.lit(0))
+
+
+def likeness(a: Column, b: Column, equal: Column) -> Column:
+    """Jaccard similarity of two fingerprints; of two empty ones, 1 where the texts are equal."""
+    shared = F.size(F.array_intersect(signatures(a), signatures(b))).cast("double")
+    return F.when((a == "") & (b == ""), F.when(equal, F.lit(1.0)).otherwise(F.lit(0.0))).when(a == b, F.lit(1.0)).otherwise(
+        shared / ((F.length(a) + F.length(b)) / 8 - shared)
+    )
 
 
 def stretch_of(bounds: list[int], key: Column) -> Column:
@@ -104,7 +122,8 @@ def stretch_of(bounds: list[int], key: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the document that follows in descending order of ids; after the last, the first.
+    """(doc_id, text, own, next_text, following): each document's fingerprint, and the text and fingerprint of the
+    document that follows in descending order of ids; after the last comes the first.
 
     The order is cut into stretches of about STRETCH rows by quantiles of the
     ids, so one shuffle of the texts puts nearly every document beside its
@@ -131,8 +150,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("s").alias("s"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("s"), F.lit(1).alias("guest"))),
     ).otherwise(F.array(F.struct(F.col("s").alias("s"), F.lit(0).alias("guest"))))
     dealt = placed.select("doc_id", "text", "k", F.explode(homes).alias("h")).select("doc_id", "text", "k", "h.s", "h.guest")
+    marked = with_fingerprint(dealt.repartition("s"), "text", "own")
     window = Window.partitionBy("s").orderBy("guest", F.col("k").desc(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(window)).filter("guest = 0").select("doc_id", "text", "next_text")
+    beside = marked.withColumn("next_text", F.lead("text").over(window)).withColumn("following", F.lead("own").over(window))
+    return beside.filter("guest = 0").select("doc_id", "text", "own", "next_text", "following")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -140,14 +161,13 @@ def compared(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     base = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", edited)
-    for text, name in (("text", "own"), ("edited", "other"), ("next_text", "following")):
-        base = with_signatures(base, text, name)
+    base = with_fingerprint(base, "edited", "other")
     return base.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("other", "").alias("edited_fingerprint"),
+        F.col("own").alias("fingerprint"),
+        F.col("other").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other"), F.col("text") == F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("following"), F.col("text") == F.col("next_text")).alias("near_next"),
     )
@@ -156,9 +176,9 @@ def compared(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(fingerprint, rep, size, sigs): one row per distinct non-empty fingerprint; rep is its least doc_id."""
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    marked = with_signatures(rows, "text", "sigs").select("doc_id", F.array_join("sigs", "").alias("fingerprint")).filter("fingerprint <> ''")
+    marked = with_fingerprint(rows, "text", "fingerprint").select("doc_id", "fingerprint").filter("fingerprint <> ''")
     grouped = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    return grouped.withColumn("sigs", F.regexp_extract_all("fingerprint", F.lit(".{8}"), F.lit(0)))
+    return grouped.withColumn("sigs", signatures(F.col("fingerprint")))
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -179,6 +199,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     right = prefix.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), "p")
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     pairs = left.join(right, ["sig", "p"]).filter(close).select("a", "b").distinct()
-    own = base.select("rep", "sigs")
-    both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sigs").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("sigs").alias("y")), "b")
+    own = base.select("rep", "fingerprint")
+    both = pairs.join(own.select(F.col("rep").alias("a"), F.col("fingerprint").alias("x")), "a")
+    both = both.join(own.select(F.col("rep").alias("b"), F.col("fingerprint").alias("y")), "b")
     return both.select("a", "b", likeness(F.col("x"), F.col("y"), F.lit(False)).alias("likeness")).filter(F.col("likeness") >= threshold)

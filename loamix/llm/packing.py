@@ -15,8 +15,12 @@ shard; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,20 @@ from loamix.llm.shingles import mix
 WIDTH = 2048
 END = 1
 #: Tokens in one shard of the index.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Terms of a seed that query the index: those with the largest weights in it.
 QUERY_TERMS = 24
 K1, B = 1.5, 0.75
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Texts of these characters alone are split at white space before their words are looked up;
 #: any other text is encoded as a whole. Both give the same ids.
 PLAIN = re.compile("[\t\n\r\x20-\x3b=-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
+#: How the tokenizer cuts such a text's words before it merges (a fixed value, for these characters).
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: The letters that stand for bytes which print nothing in byte-level vocabularies: 256 and up, in order.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def default_tokenizer() -> str:
@@ -49,38 +58,61 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer lower-cases and never joins across white space, so the ids of
-    a plain text are those of its words one after the other, which repeat often.
+    The tokenizer lower-cases, never joins across white space and cuts words
+    into runs of letters, single digits and runs of marks before it merges. So
+    the ids of a plain text are those of such parts one after the other; words
+    and parts repeat often and are remembered, in two generations.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        self.before: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of words that aren't known, from their parts."""
+        known, before = self.known, self.before
+        cut = {w: PARTS.findall(w) for w in words if not w.isalpha()}
+        parts = {p for ps in cut.values() for p in ps}.union(words.difference(cut)).difference(known)
+        known.update((p, before[p]) for p in parts.intersection(before))
+        merge = self.tokenizer.model.tokenize
+        for part in parts.difference(before):
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in merge(letters)]
+            known[part] = array("I", ids).tobytes() if NATIVE else np.asarray(ids, "<u4").tobytes()
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.lower().split() if PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.before = {}, self.known
         known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._ids(part)))
-        whole = {i: ids for i in range(len(texts)) if words[i] is None for ids in self._ids([texts[i]])}
-        return [whole[i] if ws is None else b"".join(map(known.__getitem__, ws)) for i, ws in enumerate(words)]
+        if missing := set().union(*(ws for ws in words if ws)).difference(known):
+            again = missing.intersection(self.before)
+            known.update((w, self.before[w]) for w in again)
+            self.learn(missing.difference(again))
+        return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words)]
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: it outlives a task, and with it the words it knows."""
+    state = sys.modules.setdefault("loamix_worker_state", types.ModuleType("loamix_worker_state"))
+    if getattr(state, "path", None) != path:
+        state.path, state.encoder = path, Encoder(path)
+    return state.encoder
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (16 bits each, end id included), n and place (a hash that near texts are likely to share)."""
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, sizes, places = [], [], []

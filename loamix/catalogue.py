@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamix.plans import cleaning, describing, searching
+from loamix.plans import cleaning, describing, searching, serving
 
-MODULES = (cleaning, describing, searching)
+MODULES = (cleaning, describing, searching, serving)
 QUERIES: dict = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -122,8 +122,8 @@ def chunk_pool(top: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([np.add.reduceat(kept, starts) / counts[:, None], np.maximum.reduceat(kept, starts)], axis=1)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
-    """Adam on the logistic loss; gradients flow through the places of the maxima only."""
+def fit(rows: list[tuple[str, int]], steps: int = 1300, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
+    """Adam on the logistic loss for about that many batches; gradients flow through the places of the maxima only."""
     labels = np.array([int(y) for _, y in rows], np.float64)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
@@ -136,6 +136,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 14, batch: int = 32, rate: fl
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     state = {k: [np.zeros(np.shape(v)), np.zeros(np.shape(v))] for k, v in (("t", table), ("d", dense), ("b", 0.0))}
     step = 0
+    epochs = max(1, round(steps * batch / len(data)))
     for epoch in range(epochs):
         order = rng.permutation(len(data))
         pace = rate * (1 - epoch / epochs)

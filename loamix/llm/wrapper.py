@@ -37,7 +37,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object|video|audio|canvas|head)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?][^>]*>",
+    r"|<[!?][^>]*>"
+    r"|<[/a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -61,6 +62,8 @@ FURNITURE_NAMES = frozenset(
 FURNITURE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 #: Pages on which a node must stand for its text to count as constant: outside the content, and within it.
 LEAST_PAGES, LEAST_WITHIN = 8, 20
+#: Share of pages on which one member of a slot must stand to be constant, and how many members a slot remembers.
+LEAST_SHARE, MOST_MEMBERS = 0.9, 40
 #: Children of a template node; the rarest of more are left out of the template (never out of a page).
 MOST_CHILDREN = 120
 
@@ -179,7 +182,8 @@ def runs(nodes: list[Node]) -> list[list[Node]]:
     return out
 
 
-# A template node: [kind, pages, checksum of the text or None if it varied, characters, link characters, children, furniture]
+# A template node: [kind, pages, checksum of the text or None if it varied, characters, link characters, children, furniture,
+#  pages by checksum of a member of the slot, for the most frequent ones]
 
 
 def slot(group: list[Node]) -> list:
@@ -190,7 +194,7 @@ def slot(group: list[Node]) -> list:
     for node in group:
         own = [slot(g) for g in runs(node.parts)]
         children = joined(children, own, False) if children else own
-    return [group[0].key, 1, crc, sum(n.chars for n in group), sum(n.links for n in group), children, all(n.bad for n in group)]
+    return [group[0].key, 1, crc, sum(n.chars for n in group), sum(n.links for n in group), children, all(n.bad for n in group), {n.crc: 1 for n in group}]
 
 
 def matched(a: list, b: list) -> int:
@@ -237,7 +241,13 @@ def joined(xs: list, ys: list, pages: bool = True) -> list:
 
 def fold(a: list, b: list, pages: bool = True) -> list:
     """Two aligned template nodes as one; pages: they come from different pages."""
-    return [a[0], a[1] + b[1] if pages else 1, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], joined(a[5], b[5], pages), a[6] and b[6]]
+    members = dict(a[7])
+    for crc, n in b[7].items():
+        members[crc] = members.get(crc, 0) + n if pages else 1
+    if len(members) > 2 * MOST_MEMBERS:
+        members = dict(sorted(members.items(), key=lambda x: (-x[1], x[0]))[:MOST_MEMBERS])
+    same = a[2] if a[2] == b[2] else None
+    return [a[0], a[1] + b[1] if pages else 1, same, a[3] + b[3], a[4] + b[4], joined(a[5], b[5], pages), a[6] and b[6], members]
 
 
 def content_of(root: list) -> list[int]:
@@ -298,8 +308,9 @@ def blocks(node: Node, template: list | None, within: bool, drop_constant: bool,
             continue
         if part.tag in ("ul", "ol", "div", "table") and part.chars and part.links > 0.8 * part.chars and count_links(part) >= 3:
             continue
-        if known and drop_constant and known[2] is not None and known[1] >= (LEAST_WITHIN if within else LEAST_PAGES) and own[2] == known[2] and part.chars:
-            continue
+        if known and drop_constant and part.chars and known[1] >= (LEAST_WITHIN if within else LEAST_PAGES):
+            if own[2] == known[2] or known[7].get(part.crc, 0) >= LEAST_SHARE * known[1]:
+                continue
         blocks(part, known, within, drop_constant, out)
     end()
 

@@ -1,14 +1,13 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, verification, star components.
 
 Texts with equal shingle sets are one class from the start. Each class sends
-its bands to buckets. In a bucket, members are compared with a few heads only,
-never all with all; a pair passes if the share of equal minima allows it and
-then its full shingle sets meet the threshold. Passing pairs join components.
-Buckets that still hold several components take further heads from outside
-their largest one, until every pair across components has been compared; pairs
-inside a component need no comparison. So a bucket of any size costs rows in
-proportion to its members in each round, and no link between classes that
-share a bucket is lost.
+its bands to buckets. In a bucket, members are compared with its least member
+only, never all with all; a pair passes if the share of equal minima allows it
+and then its full shingle sets meet the threshold. Passing pairs join
+components, and pairs inside a component need no comparison. Classes whose
+buckets still hold several components are joined exactly, by the prefixes of
+their sets (see `linked_exactly`). So no link between classes that share a
+bucket is lost, and no bucket is compared all with all.
 
 Defined cases: a text without words (null, empty, white space) has an empty
 set and is linked with nothing; a null doc_id is linked with nothing and kept;
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import drop_stored, stored, utf8
+from loamix.llm.common import Shared, drop_stored, stored, utf8
 from loamix.llm.components import stars
 from loamix.llm.shingles import mix, shingle_sets
 
@@ -33,8 +32,13 @@ THRESHOLD = 80
 SHINGLE = 5
 #: Share of equal minima below which a pair isn't compared in full: five deviations under the threshold.
 LEAST_EQUAL = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
-#: Heads a bucket takes in one later round, at most.
-HEADS = 16
+#: Heads that a group takes in the first of the later rounds, at most, and by how much that grows each round.
+FIRST_HEADS, MORE_HEADS = 16, 8
+#: Places of the rough count of shingles: 8 MB, whatever the input.
+PLACES = 1 << 20
+
+#: Shingles of recent heads that a task keeps.
+KEPT = 4_000_000
 
 _RNG = np.random.default_rng(97)
 FACTOR = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -116,25 +120,26 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets meet the threshold.
+def pair_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the wanted ids, written once."""
+    return stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "pair-texts")[0]
 
-    Only documents that are in a pair are read into the joins; a head's set is
-    kept while its pairs follow one another.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id", "left_semi")
-    found, _ = stored(rows, "pair-texts")
+
+def confirmed(pairs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets meet the threshold; the sets of recent heads are kept, up to a size."""
     of = lambda side: found.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
 
     def run(batches):
-        last, left = None, None
+        kept: dict[int, np.ndarray] = {}
         for batch in batches:
             heads = batch.column("a").to_pylist()
             head_texts, keep = batch.column("ta"), []
             for i, s in enumerate(shingle_sets(*utf8(batch.column("tb")), k)):
-                if heads[i] != last:
-                    last, left = heads[i], next(shingle_sets(*utf8(head_texts.slice(i, 1)), k))
+                left = kept.get(heads[i])
+                if left is None:
+                    if sum(map(len, kept.values())) > KEPT:
+                        kept.clear()
+                    left = kept[heads[i]] = next(shingle_sets(*utf8(head_texts.slice(i, 1)), k))
                 shared = len(np.intersect1d(left, s, assume_unique=True))
                 keep.append(100 * shared >= THRESHOLD * (len(left) + len(s) - shared))
             mask = pa.array(keep, pa.bool_())
@@ -149,55 +154,135 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     signs, _ = stored(signed(docs, k), "signatures")
     filled = signs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes, classes_path = stored(
+    classes, _ = stored(
         filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes"
     )
-    once = classes.groupBy("rep").agg(F.min_by(F.struct("n", "sig"), F.struct("n", "d1", "d2")).alias("s")).select("rep", "s.*")
     buckets, buckets_path = stored(banded(classes), "buckets")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("top")).filter("head <> top")
-    members, members_path = stored(buckets.join(shared.select("key", "head"), "key").distinct(), "bucket-members")
+    members, members_path = stored(buckets.join(shared.select("key", "head"), "key").distinct(), "members")
     drop_stored(spark, buckets_path)
+
+    # first round: every member of a bucket with the bucket's least
     pairs = members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    # rows of one doc_id with different texts: their classes are one document
-    links = signs.filter("n > 0").groupBy("doc_id", "n", "d1", "d2").agg(F.lit(1).alias("one"))
-    links = links.join(classes, ["n", "d1", "d2"]).filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    again = filled.groupBy("doc_id").agg(F.count_distinct("d1", "d2", "n").alias("sets")).filter("sets > 1").select(F.col("doc_id").alias("a"))
-    links = links.join(again, "a", "left_semi")
+    passed, passed_path = stored(likely(pairs, classes), "likely")
+    found = pair_texts(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
+    star, star_path = stars(confirmed(passed, found, k).unionByName(same_id(signs, classes)))
+    drop_stored(spark, passed_path)
+
+    # what round one left apart, though it shares a bucket
+    placed = with_components(members.select("key", "rep"), star)
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    apart, _ = stored(placed.join(mixed, "key").select("rep").distinct(), "apart")
+    drop_stored(spark, members_path)
+    if not apart.isEmpty():
+        star = linked_exactly(apart, classes, texts, star, star_path, k)
+
+    reps = classes.select("n", "d1", "d2", "rep").join(star.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
+    reps = reps.select("n", "d1", "d2", F.coalesce("c", "rep").alias("component"))
+    joined = signs.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    return joined.select("doc_id", "n", component.alias("component"))
+
 
-    spent, spent_path, known, known_path = None, None, None, None
+def with_components(rows: DataFrame, star: DataFrame) -> DataFrame:
+    """rows with the component `comp` of their rep."""
+    home = star.select(F.col("a").alias("rep"), F.col("b").alias("c"))
+    return rows.join(home, "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+
+
+def frequencies(found: DataFrame, k: int) -> np.ndarray:
+    """How many of the texts hold each shingle, by a hash of PLACES values: a rough order of rare to frequent."""
+
+    def run(batches):
+        counts = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for s in shingle_sets(*utf8(batch.column("text")), k):
+                np.add.at(counts, s & np.uint64(PLACES - 1), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(counts[at])], ["place", "n"])
+
+    out = np.zeros(PLACES, np.int64)
+    table = found.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out[table["place"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
+def prefixes(found: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
+    """(key, rep, n, pos): of each set the rarest shingles, of which a partner must share one, with their place in the order."""
+    shared = Shared(found.sparkSession, counts)
+
+    def run(batches):
+        known = shared.get()
+        for batch in batches:
+            keys, reps, sizes, places = [], [], [], []
+            for rep, s in zip(batch.column("id").to_pylist(), shingle_sets(*utf8(batch.column("text")), k)):
+                n = len(s)
+                most = n - -(-THRESHOLD * n // 100) + 1
+                order = np.lexsort((s, known[s & np.uint64(PLACES - 1)]))[:most]
+                keys.append(s[order].view(np.int64))
+                reps.append(np.full(len(order), rep, np.int64))
+                sizes.append(np.full(len(order), n, np.int64))
+                places.append(np.arange(len(order)))
+            if keys:
+                arrays = [pa.array(np.concatenate(x)) for x in (keys, reps, sizes, places)]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "rep", "n", "pos"])
+
+    return found.mapInArrow(run, "key bigint, rep bigint, n bigint, pos bigint")
+
+
+def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star: DataFrame, star_path: str, k: int) -> DataFrame:
+    """Components after all links among the classes in `apart`, by prefix and position filtering.
+
+    Sets are put in one order, rare shingles first. Two sets of sizes x and y
+    that meet the threshold share o = ceil(t (x + y) / (1 + t)) shingles, so
+    behind the first shared one, at places i and j, min(x - i, y - j) >= o are
+    left in both. Documents that share a frequent passage and differ elsewhere
+    fail this before they are ever paired. In each shingle's group, heads from
+    outside the group's largest component meet all others of another component;
+    heads grow in number from round to round until none is left.
+    """
+    spark = apart.sparkSession
+    near_classes, _ = stored(classes.join(apart, "rep", "left_semi"), "classes-apart")
+    found = pair_texts(apart.select(F.col("rep").alias("id")), texts)
+    members, members_path = stored(prefixes(found, frequencies(found, k), k), "prefixes")
+    spent, heads_a_group = None, FIRST_HEADS
     while True:
-        passed, passed_path = stored(likely(pairs, once), "likely")
-        edges = confirmed(passed, texts, k).unionByName(links if known is None else known)
-        star, star_path = stars(edges)
-        drop_stored(spark, passed_path)
-        if known_path:
-            drop_stored(spark, known_path)
-        known, known_path = star, star_path
-        placed = members.join(known.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
-        placed = placed.select("key", "rep", "head", F.coalesce("c", "rep").alias("comp"))
+        placed = with_components(members, star)
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        left, left_path = stored(placed.join(mixed, "key"), "mixed")
+        left, left_path = stored(placed.join(mixed, "key").select("key", "rep", "n", "pos", "comp"), "mixed")
         drop_stored(spark, members_path)
-        members, members_path = left.select("key", "rep", "head"), left_path
-        if spent is None:
-            spent, spent_path = stored(left.select("key", F.col("head").alias("rep")).distinct(), "spent")
-        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        open_ones = left.join(largest, "key").filter("comp <> main").join(spent, ["key", "rep"], "left_anti")
-        salt = F.pmod(F.xxhash64("rep"), F.lit(HEADS)).alias("salt")
-        heads = open_ones.groupBy("key", salt).agg(F.min(F.struct("rep", "comp")).alias("h"))
-        heads, heads_path = stored(heads.select("key", F.col("h.rep").alias("a"), F.col("h.comp").alias("ca")), "heads")
+        members, members_path = left.drop("comp"), left_path
+        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+        unspent = left.join(largest, "key").filter("comp <> main").select("key", "rep")
+        if spent is not None:
+            unspent = unspent.join(spent, "rep", "left_anti")
+        salt = F.pmod(F.xxhash64("rep"), F.lit(heads_a_group)).alias("salt")
+        heads, _ = stored(unspent.groupBy("key", salt).agg(F.min("rep").alias("rep")).select("rep").distinct(), "heads")
         if heads.isEmpty():
-            break
-        others = left.select("key", F.col("rep").alias("b"), "comp")
-        pairs = heads.join(others, "key").filter("ca <> comp").select("a", "b").distinct()
-        spent, spent_path = stored(spent.unionByName(heads.select("key", F.col("a").alias("rep"))), "spent")
-
-    reps = classes.select("n", "d1", "d2", "rep").join(known.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
-    reps = reps.select("n", "d1", "d2", F.coalesce("c", "rep").alias("component"))
-    found = signs.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n", component.alias("component"))
+            drop_stored(spark, members_path)
+            return star
+        of_heads = left.join(heads, "rep", "left_semi").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "comp")])
+        others = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "comp")])
+        need = F.ceil(F.lit(THRESHOLD) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + THRESHOLD))
+        fits = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
+        pairs = of_heads.join(others, "key").filter((F.col("comp_a") != F.col("comp_b")) & fits)
+        pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        passed, passed_path = stored(likely(pairs, near_classes), "likely")
+        after, after_path = stars(confirmed(passed, found, k).unionByName(star))
+        drop_stored(spark, passed_path)
+        drop_stored(spark, star_path)
+        star, star_path = after, after_path
+        spent = heads if spent is None else spent.unionByName(heads)
+        heads_a_group *= MORE_HEADS
+
+
+def same_id(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id but not a text."""
+    own = signs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "d1", "d2")
+    several = own.groupBy("doc_id").agg(F.count_distinct("d1", "d2", "n").alias("sets")).filter("sets > 1").select("doc_id")
+    rows = own.join(several, "doc_id", "left_semi").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
+    return rows.filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def digest(docs: DataFrame, k: int) -> DataFrame:

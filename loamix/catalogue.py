@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamix.plans import cleaning, describing, further, searching, serving
+from loamix.plans import cleaning, describing, further, reporting, searching, serving
 
-MODULES = (cleaning, describing, searching, serving, further)
+MODULES = (cleaning, describing, searching, serving, further, reporting)
 QUERIES: dict = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}

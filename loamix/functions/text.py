@@ -126,13 +126,13 @@ def ocr_signals(text: Column) -> Column:
     stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
     dense = F.regexp_replace(stripped, r"\s+", "")
     letters = F.length(dense) - F.length(F.regexp_replace(dense, r"""[A-Za-z0-9.,:;()/%&'"\-+#*@\[\]|]""", ""))
-    tokens = F.filter(F.split(stripped, r"[\s|]+"), lambda t: t != "")
-    shaped = r"^(?:[A-Za-z]{2,}|[0-9][0-9.,:/()+\-]*|[A-Za-z0-9][A-Za-z0-9.#_/\-]{0,4})$"
-    good = F.size(F.filter(tokens, lambda t: t.rlike(shaped)))
+    tokens = F.regexp_count(stripped, F.lit(r"[^\s|]+"))
+    shaped = r"(?<![^\s|])(?:[A-Za-z]{2,}|[0-9][0-9.,:/()+\-]*|[A-Za-z0-9][A-Za-z0-9.#_/\-]{0,4})(?![^\s|])"
+    good = F.regexp_count(stripped, F.lit(shaped))
     return F.struct(
         F.length(stripped).cast("bigint").alias("length"),
         F.when(F.length(dense) > 0, letters / F.length(dense)).otherwise(F.lit(0.0)).alias("letterish"),
-        F.when(F.size(tokens) > 0, good / F.size(tokens)).otherwise(F.lit(0.0)).alias("wordish"),
+        F.when(tokens > 0, good / tokens).otherwise(F.lit(0.0)).alias("wordish"),
     )
 
 

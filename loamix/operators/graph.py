@@ -95,7 +95,9 @@ def community_sizes(members: DataFrame) -> DataFrame:
 
 def entities_in(queries: DataFrame, nodes: DataFrame, least: int = 5) -> DataFrame:
     """query_id, name, nth: entities whose name of at least five letters is in the question. queries is bounded."""
-    hits = nodes.filter(F.length("name") >= least).join(F.broadcast(queries), F.contains(F.lower("text"), F.lower("name")))
+    names = nodes.filter(F.length("name") >= least).select("name", F.lower("name").alias("low_name"))
+    asked = queries.select("query_id", F.lower("text").alias("low_text"))
+    hits = names.join(F.broadcast(asked), F.contains("low_text", F.col("low_name")))
     order = Window.partitionBy("query_id").orderBy("name")
     return hits.select("query_id", "name", F.row_number().over(order).cast("bigint").alias("nth"))
 

@@ -91,6 +91,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ..., so that none clashes with an operator's own, and those names in order."""
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    return df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(df.columns, inner)]), inner
+
+
 class Shared:
     """A broadcast of a driver-side model of bounded size; `get` gives the worker's copy."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, texts
+from loamix.llm.common import Shared, numbered, texts
 
 #: Bytes that separate words become spaces, A-Z become a-z; bytes over 0x7F are parts of words.
 WORD_BYTES = bytes(
@@ -237,8 +237,8 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_cover: f
     What is left of a document that is hit has n_chars counted anew; a document
     without hits is returned as it is. One left without any word goes too.
     """
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    found = scanned(docs.select(*kept), bench, window)
+    inner, names = numbered(docs)
+    found = scanned(inner.withColumn("text", F.col(names[docs.columns.index("text")])), bench, window)
 
     @F.pandas_udf("string")
     def without(text, spans):
@@ -248,10 +248,12 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_cover: f
 
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
     left = found.filter((F.size("spans") == 0) | ((hit <= F.col("n_words") * most_cover) & (hit < F.col("n_words"))))
-    out = left.withColumn("text", without("text", "spans"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*kept)
+    left = left.withColumn("text", without("text", "spans"))
+    counted = F.when(F.size("spans") > 0, F.length("text"))
+    out = {c: F.col(x) for c, x in zip(docs.columns, names)} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(counted.cast(docs.schema["n_chars"].dataType), out["n_chars"])
+    return left.select(*[column.alias(c) for c, column in out.items()])
 
 
 def items_sha256(items: list[str]) -> str:

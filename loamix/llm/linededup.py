@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamix.llm.common import LOWER, drop_stored, stored, texts
+from loamix.llm.common import LOWER, drop_stored, numbered, stored, texts
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -137,7 +137,8 @@ def judged(
     """`columns` of docs with kept_text, n_lines and n_dropped."""
     lost = condemned(docs.select("doc_id", "text"), least_chars, least_docs, batches, fanout)
     whole = docs.select(*columns, F.struct(F.col("text"), hashed_id().alias("doc")).alias("judged_row"))
-    joined = whole.join(lost, F.col("judged_row.doc") == F.col("doc"), "left").drop("doc")
+    lost = lost.withColumnRenamed("doc", "lost_doc")
+    joined = whole.join(lost, F.col("judged_row.doc") == F.col("lost_doc"), "left").drop("lost_doc")
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
@@ -173,12 +174,15 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 def deduped(docs: DataFrame, **options) -> DataFrame:
     """docs with the text that is left; n_chars counted anew where lines went; a text left without any line goes."""
-    names = docs.columns
-    out = judged(docs, names, **options)
+    inner, names = numbered(docs)
+    text = names[docs.columns.index("text")]
+    whole = inner.withColumn("text", F.col(text)).withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]))
+    out = judged(whole, names, **options)
     out = out.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     changed = F.col("n_dropped") > 0
-    out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in names:
+    columns = {c: F.col(x) for c, x in zip(docs.columns, names)}
+    columns["text"] = F.when(changed, F.col("kept_text")).otherwise(columns["text"])
+    if "n_chars" in columns:
         counted = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(changed, counted).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        columns["n_chars"] = F.when(changed, counted).otherwise(columns["n_chars"])
+    return out.select(*[column.alias(c) for c, column in columns.items()])

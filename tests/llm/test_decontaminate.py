@@ -48,7 +48,10 @@ def test_clean_removes_spans_only(spark):
     bench = spark.createDataFrame([(1, ten)], "item_id long, text string")
     clean_text = "nothing to  see\nhere, at all"
     rows = [(1, clean_text, 28), (2, f"before it {ten.upper()}. After it more words stand here now", 70), (3, ten, 19), (4, None, 0)]
-    out = {r["doc_id"]: r for r in D.clean(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), bench).collect()}
+    frame = spark.createDataFrame([(*r, "s", 1, "c") for r in rows], "doc_id long, text string, n_chars long, spans string, n_words int, c1 string")
+    done = D.clean(frame, bench)
+    assert done.columns == frame.columns and {(r["spans"], r["n_words"], r["c1"]) for r in done.collect()} == {("s", 1, "c")}
+    out = {r["doc_id"]: r for r in done.collect()}
     assert out[1]["text"] == clean_text and out[1]["n_chars"] == 28
     assert out[2]["text"] == "before it . After it more words stand here now" and out[2]["n_chars"] == len(out[2]["text"])
     assert 3 not in out and out[4]["text"] is None

@@ -41,9 +41,9 @@ def test_against_brute_force(spark):
 
 def test_deduped_keeps_other_columns(spark):
     docs = cases()
-    frame = spark.createDataFrame([(i, t, len(t or ""), "en") for i, t in docs], "doc_id long, text string, n_chars long, lang string")
+    frame = spark.createDataFrame([(i, t, len(t or ""), "en", 3, "h") for i, t in docs], "doc_id long, text string, n_chars long, doc string, n_lines int, hash string")
     out = L.deduped(frame).collect()
-    assert out[0].__fields__ == ["doc_id", "text", "n_chars", "lang"]
+    assert out[0].__fields__ == frame.columns and {(r["doc"], r["n_lines"], r["hash"]) for r in out} == {("en", 3, "h")}
     assert all(r["n_chars"] == len(r["text"] or "") for r in out)
     assert any(r["text"] is None for r in out)
 

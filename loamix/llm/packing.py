@@ -37,8 +37,8 @@ SHARD_TOKENS = 2_000_000
 #: Terms of a seed that query the index: those with the largest weights in it.
 QUERY_TERMS = 24
 K1, B = 1.5, 0.75
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers in one of two generations, about 200 bytes each; let go once they are packed.
+REMEMBERED = 600_000
 #: Texts of these characters alone are split at white space before their words are looked up;
 #: any other text is encoded as a whole. Both give the same ids.
 PLAIN = re.compile("[\t\n\r\x20-\x3b=-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
@@ -55,13 +55,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known(dict):
+    """Ids of words as bytes; a new word is merged when it is first asked for. Two generations are kept."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.before = merge, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            parts = (word,) if word.isalpha() else PARTS.findall(word)
+            if len(parts) > 1:
+                ids = b"".join([self[p] for p in parts])
+            else:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = packed_ids([t.id for t in self.merge(letters)])
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if NATIVE else np.asarray(ids, "<u4").tobytes()
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer lower-cases, never joins across white space and cuts words
     into runs of letters, single digits and runs of marks before it merges. So
-    the ids of a plain text are those of such parts one after the other; words
-    and parts repeat often and are remembered, in two generations.
+    the ids of a plain text are those of such parts one after the other, which
+    repeat often and are remembered.
     """
 
     def __init__(self, path: str):
@@ -69,35 +98,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Remembers the ids of words that aren't known, from their parts."""
-        known, before = self.known, self.before
-        cut = {w: PARTS.findall(w) for w in words if not w.isalpha()}
-        parts = {p for ps in cut.values() for p in ps}.union(words.difference(cut)).difference(known)
-        known.update((p, before[p]) for p in parts.intersection(before))
-        merge = self.tokenizer.model.tokenize
-        for part in parts.difference(before):
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = [t.id for t in merge(letters)]
-            known[part] = array("I", ids).tobytes() if NATIVE else np.asarray(ids, "<u4").tobytes()
-        known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
+        self.known = Known(self.tokenizer.model.tokenize)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.lower().split() if PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known = self.known
-        if missing := set().union(*(ws for ws in words if ws)).difference(known):
-            again = missing.intersection(self.before)
-            known.update((w, self.before[w]) for w in again)
-            self.learn(missing.difference(again))
-        return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words)]
+        self.known.turn()
+        of = self.known.__getitem__
+        return [
+            b"".join(map(of, t.lower().split())) if PLAIN.fullmatch(t) else packed_ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            for t in texts
+        ]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -108,6 +117,10 @@ def worker_encoder(path: str) -> Encoder:
     return state.encoder
 
 
+def forget_encoder() -> None:
+    sys.modules.pop("loamix_worker_state", None)
+
+
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (16 bits each, end id included), n and place (a hash that near texts are likely to share)."""
 
@@ -144,10 +157,13 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """In how many documents each id occurs, over all documents; one number per id of the vocabulary."""
 
     def run(batches):
-        counts = np.zeros(vocabulary, np.int64)
+        counts, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
         for batch in batches:
             for raw in batch.column("ids").to_pylist():
-                counts[np.unique(np.frombuffer(raw, "<u2"))] += 1
+                seen[np.frombuffer(raw, "<u2")] = True
+                own = np.flatnonzero(seen)
+                counts[own] += 1
+                seen[own] = False
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(counts[at])], ["id", "n"])
 
@@ -279,6 +295,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, sh
         return columns
 
     def run(batches):
+        forget_encoder()
         idf_, mean = shared.get()
         ids, held, size, first, kind_ = [], [], 0, None, None
 

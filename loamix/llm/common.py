@@ -8,8 +8,6 @@ import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -63,15 +61,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch."""
+#: Rows of texts that a Python worker holds at a time.
+BATCH_ROWS = 2000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (out := fn(batch)) is not None:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of BATCH_ROWS rows at most, from now on in this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

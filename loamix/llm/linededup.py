@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamix.llm.common import LOWER, drop_stored, numbered, stored, texts
+from loamix.llm.common import LOWER, drop_stored, numbered, small_batches, stored, texts
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -135,6 +135,7 @@ def judged(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """`columns` of docs with kept_text, n_lines and n_dropped."""
+    small_batches(docs.sparkSession)
     lost = condemned(docs.select("doc_id", "text"), least_chars, least_docs, batches, fanout)
     whole = docs.select(*columns, F.struct(F.col("text"), hashed_id().alias("doc")).alias("judged_row"))
     lost = lost.withColumnRenamed("doc", "lost_doc")

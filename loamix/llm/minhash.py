@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, drop_stored, stored, utf8
+from loamix.llm.common import Shared, drop_stored, small_batches, stored, utf8
 from loamix.llm.components import stars
 from loamix.llm.shingles import mix, shingle_sets
 
@@ -150,6 +150,7 @@ def confirmed(pairs: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n (size of the shingle set) and component: the least doc_id reachable over links, itself included."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     signs, _ = stored(signed(docs, k), "signatures")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, stored
+from loamix.llm.common import Shared, small_batches, stored
 from loamix.llm.shingles import mix
 
 WIDTH = 2048
@@ -269,6 +269,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, sh
     a place that very many documents share is cut between shards. A task holds
     one shard of at most shard_tokens tokens, or one longer document, at a time.
     """
+    small_batches(docs.sparkSession)
     tokens, _ = stored(tokenized(docs, tokenizer or default_tokenizer()), "tokens")
     spark = docs.sparkSession
     total = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()

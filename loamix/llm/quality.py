@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, fold, utf8
+from loamix.llm.common import Shared, fold, small_batches, utf8
 from loamix.llm.sampling import sample
 
 PER_CLASS = 1500
@@ -199,17 +199,19 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, long
 
 
 def scored(docs: DataFrame, net: Net, columns: list[str], name: str = "score") -> DataFrame:
-    """`columns` of docs with the score of the text; one narrow pass."""
+    """`columns` of docs with the score of the text, which travels once; one narrow pass."""
+    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, net)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     inner = [f"c{i}" for i in range(len(columns))]
-    rows = docs.select(*[F.col(c).alias(x) for c, x in zip(columns, inner)], F.col("text").alias("scored_text"))
+    text = inner[columns.index("text")] if "text" in columns else "scored_text"
+    rows = docs.select(*[F.col(c).alias(x) for c, x in zip(columns, inner)], *([] if text in inner else [F.col("text").alias(text)]))
 
     def run(batches):
         model = shared.get()
         for batch in batches:
             if batch.num_rows:
-                raw, at = utf8(batch.column("scored_text"))
+                raw, at = utf8(batch.column(text))
                 values, i = [], 0
                 while i < len(at) - 1:  # about 4 MB of texts at a time
                     j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 22), "right")) - 1)

@@ -35,7 +35,7 @@ ANCHORS = (
 )
 START, END = "^", "~"
 #: Rows of documents in one stretch of the order of ids.
-STRETCH = 20_000
+STRETCH = 4_000
 FAN = 64
 NO_ID = -(1 << 63)
 

@@ -5,10 +5,10 @@ one another (paragraphs, list items) count as one slot. The trees of a host's
 pages are aligned by simple tree matching and folded into the host's template,
 which keeps for each node the number of pages, whether its text was the same on
 all of them, and how much text and link text it held. Constant nodes are
-template; varying ones are slots. The slot with most running text, reached from
-the root by its share of it, is the host's content; a page's own content is the
-node aligned with it, without constant nodes and without parts that are no
-article by their element or name (menus, adverts, forms, comments and so on).
+template; varying ones are slots. The smallest node that covers all varying text
+but furniture is the host's content; a page's own content is the node aligned
+with it, without constant nodes and without parts that are no article by their
+element or name (menus, adverts, forms, comments and so on).
 
 Templates are folded within each task first, so a host of any size shuffles a
 few small templates and no pages.
@@ -64,6 +64,8 @@ FURNITURE_ROLES = frozenset("navigation banner complementary contentinfo search
 LEAST_PAGES, LEAST_WITHIN = 8, 20
 #: Share of pages on which one member of a slot must stand to be constant, and how many members a slot remembers.
 LEAST_SHARE, MOST_MEMBERS = 0.9, 40
+#: Varying text of less than this share of the constant text says that a host's pages are copies.
+FEW_VARYING = 0.05
 #: Children of a template node; the rarest of more are left out of the template (never out of a page).
 MOST_CHILDREN = 120
 
@@ -250,34 +252,54 @@ def fold(a: list, b: list, pages: bool = True) -> list:
     return [a[0], a[1] + b[1] if pages else 1, same, a[3] + b[3], a[4] + b[4], joined(a[5], b[5], pages), a[6] and b[6], members]
 
 
-def content_of(root: list) -> list[int]:
-    """Path (child numbers) from the root to the node that holds the host's running text."""
+def is_headline(node: list) -> bool:
+    """Whether a slot of headers holds a headline that varied."""
+    return node[0].split(".")[0] == "header" and node[2] is None and any(c[0].split(".")[0] in ("h1", "h2") for c in node[5])
 
-    def mass(node: list) -> float:
-        own = node[3] - sum(c[3] for c in node[5])
-        text = max(0, own) + sum(mass(c) for c in node[5])
-        if node[6]:
-            return 0.0
-        constant = node[2] is not None and node[1] >= LEAST_PAGES
-        text = 0.05 * text if constant else text
-        return 20 * text if node[0].split(".")[0] in ("article", "main") else text
 
+def constant(node: list) -> bool:
+    return node[2] is not None and node[1] >= LEAST_PAGES
+
+
+def mass(node: list, constants: bool) -> int:
+    """Characters that are no furniture; constants: also those of constant nodes."""
+    if (node[6] or node[0].split(".")[0] == "header") and not is_headline(node):
+        return 0
+    if not constants and constant(node):
+        return 0
+    own = node[3] - sum(c[3] for c in node[5])
+    return max(0, own) + sum(mass(c, constants) for c in node[5])
+
+
+def of_copies(root: list) -> bool:
+    """Whether next to nothing but constant text stands on a host's pages: they are copies, and constant text is theirs."""
+    varying = mass(root, False)
+    return FEW_VARYING * (mass(root, True) - varying) > varying
+
+
+def content_of(root: list, constants: bool) -> list[int]:
+    """Path (child numbers) from the root to the smallest node that covers all text but furniture and (unless constants) constant text."""
     path: list[int] = []
     while True:
-        weights = [mass(c) for c in root[5]]
-        if not weights:
+        held = [i for i, c in enumerate(root[5]) if mass(c, constants)]
+        if len(held) != 1 or root[3] > sum(c[3] for c in root[5]):
             return path
-        best = max(range(len(weights)), key=weights.__getitem__)
-        own = root[3] - sum(c[3] for c in root[5])
-        kind = root[5][best][0].split(".")[0]
-        if weights[best] < 0.6 * (sum(weights) + max(0, own)) or kind not in ("article", "main", "section", "div", "center", "table", "tbody", "tr", "td", "body"):
+        kind = root[5][held[0]][0].split(".")[0]
+        if kind not in ("article", "main", "section", "div", "center", "table", "tbody", "tr", "td", "body"):
             return path
-        path.append(best)
-        root = root[5][best]
+        path.append(held[0])
+        root = root[5][held[0]]
         if kind == "article":
             return path
 
 
+def beside(known: list | None, own: list, constants: bool) -> bool:
+    """Whether a page's slot may stay outside its content: it is furniture, or the template's constant text."""
+    if not mass(own, constants):
+        return True
+    return known is not None and not mass(known, constants) and known[2] in (None, own[2])
+
+
 def blocks(node: Node, template: list | None, within: bool, drop_constant: bool, out: list[str]) -> None:
     """The texts of the node's blocks, in page order, without furniture and constant parts."""
     running: list[str] = []
@@ -303,7 +325,7 @@ def blocks(node: Node, template: list | None, within: bool, drop_constant: bool,
             continue
         end()
         known, own = slots.get(id(part), (None, None))
-        title = part.tag == "header" and within and any(not isinstance(x, str) and x.tag in ("h1", "h2") for x in part.parts)
+        title = part.tag == "header" and (within or known is not None and is_headline(known)) and any(not isinstance(x, str) and x.tag in ("h1", "h2") for x in part.parts)
         if (part.bad and not title) or (part.tag == "header" and not title):
             continue
         if part.tag in ("ul", "ol", "div", "table") and part.chars and part.links > 0.8 * part.chars and count_links(part) >= 3:
@@ -328,22 +350,25 @@ def extract(html: str | None, template: list | None) -> str:
     node, known, within = root, template, False
     own = slot([root])
     base = template if template and template[1] > 1 else own
-    for step in content_of(base):
+    constants = of_copies(base)
+    for step in content_of(base, constants):
         target = base[5][step]
-        found = None
+        found, whole = None, True
         groups = runs(node.parts)
         keys = [slot(g) for g in groups]
         for x, y in pairs(base[5], keys):
             if x is target and y is not None:
                 found = groups[next(i for i, k in enumerate(keys) if k is y)]
-        if not found or len(found) > 1:
+            elif y is not None:
+                whole = whole and beside(x, y, constants)
+        if not found or len(found) > 1 or not whole:
             break
         node, base = found[0], target
         within = True
         known = target
-    constant_content = known is not None and known[2] is not None
+    constant_content = known is not None and (constants or known[2] is not None)
     out: list[str] = []
-    blocks(node, known if template else None, within, bool(template) and not (within and constant_content), out)
+    blocks(node, known if template else None, within, bool(template) and not constant_content, out)
     if not out and node is not root:
         blocks(root, template, False, bool(template), out)
     return "\n".join(out)

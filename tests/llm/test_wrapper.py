@@ -53,3 +53,36 @@ def test_tree_matching():
     assert W.matched(a, b) == 4
     both = W.fold(a, b)
     assert [c[0] for c in both[5]] == ["x", "y", "v", "w"] and [c[1] for c in both[5]] == [1, 2, 1, 2]
+
+
+def extracted_of(spark, pages):
+    frame = spark.createDataFrame([(i, "http://h.example.org/", html) for i, html in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in W.extracted(frame).orderBy("page_id").collect()]
+
+
+def test_text_beside_the_body_stays(spark):
+    menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>All rights reserved</footer>"
+    body = "".join(f"<p>Sentence {k} of the story {{i}}, as long as all others.</p>" for k in range(9))
+    told = [f"Sentence {k} of the story {{i}}, as long as all others." for k in range(9)]
+    shapes = {
+        "<div class=post><h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=body>" + body + "</div></div>": ["Title {i}", "Lead {i}", *told],
+        "<main><section class=intro><p>Intro {i}</p></section><section class=story>" + body + "</section></main>": ["Intro {i}", *told],
+        "<div class=post><h1>Title {i}</h1><article>" + body + "</article></div>": ["Title {i}", *told],
+        "<div class=post><header><h1>Title {i}</h1></header><div class=body>" + body + "</div></div>": ["Title {i}", *told],
+        "<header><h1>Title {i}</h1></header><div class=body>" + body + "</div>": ["Title {i}", *told],
+        "<div class=note>The same on every page</div><div class=post>" + body + "</div>": told,
+    }
+    for shape, text in shapes.items():
+        assert extracted_of(spark, [(menu + shape + foot).replace("{i}", f"{i}") for i in range(30)]) == ["\n".join(text).replace("{i}", f"{i}") for i in range(30)], shape
+
+
+def test_one_page_with_its_text_elsewhere(spark):
+    usual = "<div id=a class=x><p>The story {i} in the usual place, rather long.</p></div><div class=y></div>"
+    other = "<div id=a class=x><p>See below</p></div><div class=y><p>All of this page's text is in the other place</p></div>"
+    out = extracted_of(spark, [usual.replace("{i}", f"{i}") for i in range(30)] + [other])
+    assert out[3] == "The story 3 in the usual place, rather long." and out[30] == "See below\nAll of this page's text is in the other place"
+
+
+def test_copies_with_a_stamp_keep_their_text(spark):
+    pages = [f"<div class=a><p>{'The very same article on every page. ' * 20}</p></div><div class=b>{i % 10}</div>" for i in range(30)]
+    assert all("The very same article" in text for text in extracted_of(spark, pages))

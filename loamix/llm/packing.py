@@ -34,8 +34,8 @@ WIDTH = 2048
 END = 1
 #: Tokens in one shard of the index.
 SHARD_TOKENS = 2_000_000
-#: Terms of a seed that query the index: those with the largest weights in it.
-QUERY_TERMS = 24
+#: A term that at least one in so many of a shard's documents hold keeps a weight for each document, any other term keeps postings.
+DENSE_SHARE = 4
 K1, B = 1.5, 0.75
 #: Distinct words whose ids a worker remembers in one of two generations, about 200 bytes each; let go once they are packed.
 REMEMBERED = 600_000
@@ -192,18 +192,35 @@ class Shard:
         self.owner = owner[order]
         weight = count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)) * idf[term]
         self.weight = weight[order].astype(np.float32)
+        common = np.flatnonzero(DENSE_SHARE * np.diff(self.start) >= len(docs))
+        self.dense = np.zeros((len(common), len(docs)), np.float32)
+        self.row = np.full(len(idf), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        for i, term in enumerate(common.tolist()):
+            a, b = self.start[term], self.start[term + 1]
+            self.dense[i, self.owner[a:b]] = self.weight[a:b]
+        self.scored: tuple[int, np.ndarray] | None = None
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Each document's BM25 for all distinct terms of the seed; the end id, which all documents hold, is no term."""
+        if self.scored is None or self.scored[0] != seed:  # a long document seeds several windows in a row
+            terms = self.own[seed][0]
+            terms = terms[terms != END]
+            rows = self.row[terms]
+            score = np.zeros(len(self.docs), np.float64)
+            for row in rows[rows >= 0].tolist():
+                score += self.dense[row]
+            rare = terms[rows < 0].astype(np.int64)
+            if len(rare):
+                spans = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist())]
+                owners, weights = np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans])
+                score += np.bincount(owners, weights, len(self.docs))
+            self.scored = seed, score
+        return self.scored[1]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        t, c = self.own[seed]
-        strength = np.minimum(c, 3) * self.idf[t]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(-strength, kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(len(self.docs), np.float32)
-        for term in t.tolist():
-            a, b = self.start[term], self.start[term + 1]
-            score[self.owner[a:b]] += self.weight[a:b]  # a document stands once in a term's postings
-        score[~unused] = 0
+        """Unused documents that share a term with the seed, best first."""
+        score = np.where(unused, self.scores(seed), 0)
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
 

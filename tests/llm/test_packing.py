@@ -62,6 +62,30 @@ def test_neighbours_share_words():
     assert all(len({d % 2 for d, _, _ in w}) == 1 for w in windows)
 
 
+def test_all_terms_of_the_seed_count():
+    rng = np.random.default_rng(3)
+    # the seed's 30 rare ids stand in no other document; the common ones decide
+    docs = [np.concatenate([np.arange(1000, 1030), np.arange(10, 40), [P.END]]).astype(np.uint16)]
+    docs += [np.concatenate([rng.choice(np.arange(10, 80), 25), [2000 + i, P.END]]).astype(np.uint16) for i in range(60)]
+    docs += [np.array([3000, P.END], np.uint16)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = sum(map(len, docs)) / len(docs)
+
+    def bm25(d):
+        of = {t: (d == t).sum() for t in set(docs[0].tolist()) - {P.END}}
+        return sum(idf[t] * c * (P.K1 + 1) / (c + P.K1 * (1 - P.B + P.B * len(d) / mean)) for t, c in of.items())
+
+    unused = np.ones(len(docs), bool)
+    unused[0] = False
+    want = [bm25(d) for d in docs]
+    shard = P.Shard(docs, idf, mean)
+    found = shard.neighbours(0, unused).tolist()
+    assert sorted(found) == list(range(1, 61))
+    assert np.allclose([want[i] for i in found], sorted(want[1:61], reverse=True), rtol=1e-5)
+    assert np.allclose(shard.scores(0), want, rtol=1e-5)
+
+
 def test_powers_of_two():
     windows = P.powers_of_two([(0, 3, 100), (1, 0, 7), (2, 0, 1)])
     assert [sum(n for _, _, n in w) for w in windows] == [64, 32, 8, 4]

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamix.llm.common import Shared, drop_stored, small_batches, stored, utf8
 from loamix.llm.components import stars
@@ -297,6 +298,20 @@ def digest(docs: DataFrame, k: int) -> DataFrame:
 
 
 def deduped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """docs without the documents that are linked to one of a smaller doc_id; one row of those that share a doc_id."""
-    gone = grouped(docs, k).filter(F.col("doc_id") != F.col("component")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that are linked to one of a smaller doc_id; one row of those that share a doc_id.
+
+    Of such rows the one of the least text stays, and one with text before one
+    without. They are found by counting ids, so texts of other rows don't move.
+    """
+    linked = F.col("doc_id") != F.col("component")
+    ids = grouped(docs, k).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(linked).alias("gone"), F.count("*").alias("n_rows"))
+    found, _ = stored(ids.filter("gone or n_rows > 1").select("doc_id", "gone"), "gone-or-repeated")
+    once = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = found.filter("not gone").select("doc_id")
+    if repeated.isEmpty():
+        return once
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    order = F.struct(F.coalesce(F.trim("text"), F.lit("")) == "", "text", *[c.alias(f"o{i}") for i, c in enumerate(plain)])
+    rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("one"))
+    return once.unionByName(rows.select(*[F.col("one").getField(c).alias(c) for c in docs.columns]))

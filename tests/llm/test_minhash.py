@@ -78,6 +78,17 @@ def test_odd_rows(spark):
     assert M.digest(frame.limit(0), 2).count() == 0
 
 
+def test_one_row_of_a_repeated_doc_id_stays(spark):
+    rows = [(1, "a b c", 5, {"k": 1}), (1, "a b c", 4, {"k": 2}), (2, "a b c", 6, None), (None, "a b c", 7, None), (None, "a b c", 8, None)]
+    rows += [(3, None, 1, None), (3, "x y z", 2, None), (3, "other words", 3, None), (4, "", 1, None), (4, "", 1, None), (9, "alone here", 1, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, one int, extra map<string, int>")
+    out = M.deduped(frame)
+    assert out.columns == frame.columns
+    got = sorted(((r["doc_id"], r["text"], r["one"], r["extra"]) for r in out.collect()), key=str)
+    want = [(1, "a b c", 4, {"k": 2}), (None, "a b c", 7, None), (None, "a b c", 8, None), (3, "other words", 3, None), (4, "", 1, None), (9, "alone here", 1, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_stars(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]

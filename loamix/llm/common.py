@@ -8,8 +8,11 @@ import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a private one only where it names none."""
+    """The shared folder that the cluster names; on a local master, which has no other machine, a private one if it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (root or private_root()).rstrip("/")
 
 
@@ -61,14 +66,26 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-#: Rows of texts that a Python worker holds at a time.
-BATCH_ROWS = 2000
+#: Bytes of texts that a Python worker works on at a time; a longer text is alone.
+SLICE_BYTES = 4 << 20
+
 
+def sliced(batch: pa.RecordBatch, *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `most` bytes in its string or binary columns of that name, without copying.
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers in batches of BATCH_ROWS rows at most, from now on in this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    Spark bounds a batch by bytes on its way to Python (spark.sql.execution.arrow.maxBytesPerBatch);
+    this bounds what is made of it there.
+    """
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for name in columns:
+        column = batch.column(batch.schema.get_field_index(name))
+        sizes += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -52,9 +52,35 @@ def test_runs_are_levelled_and_probed(spark):
     frame = spark.createDataFrame([(i, f"{'word ' * 10}{i % 5}") for i in range(10)], "doc_id long, text string")
     runs = L.LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(L.line_hashes(frame.filter(f"doc_id % 5 = {k}")))
+        suspects = runs.feed(L.line_hashes(frame.filter(f"doc_id % 5 = {k}")))
+        assert sorted(r["doc"] for r in suspects.collect()) == [k, k + 5]  # both rows of the batch hold the line
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted((r["n_docs"], r["max_doc"]) for r in runs.index().collect()) == [(2, k) for k in range(5, 10)]
     new = L.line_hashes(spark.createDataFrame([(99, f"{'word ' * 10}3\n{'other ' * 9}")], "doc_id long, text string"))
     assert runs.unseen(new).count() == 1
+    assert runs.feed(new).count() == 1  # the line that the runs knew
     runs.drop()
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    """Probing is a merge anti-join, and neither it nor compaction moves a run or reads a batch again."""
+    frame = spark.createDataFrame([(i, f"{'word ' * 10}{i % 7}") for i in range(40)], "doc_id long, text string")
+    runs = L.LineRuns(spark, fanout=9)
+    for k in range(3):
+        runs.feed(L.line_hashes(frame.filter(f"doc_id % 4 = {k}")))
+    names = [name for level in runs.levels for name in level]
+    own = spark.table(names.pop())
+    runs.levels[0].pop()
+    plan = runs.unseen(own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("LeftAnti") == 2 and "Exchange" not in plan
+    merged = runs.index()._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in merged and "Exchange" not in merged and "MapInArrow" not in merged
+    runs.drop()
+
+
+def test_very_long_texts(spark):
+    """More text than one Arrow batch may hold: rows are sliced by bytes on their way and in the worker."""
+    line = "a line of sixty characters or so that is long enough to count"
+    frame = spark.range(0, 300).selectExpr("id AS doc_id", f"concat('{line}', repeat('\nx', 400000), '\n', id) AS text")
+    out = L.digest(frame).agg({"n_dropped": "sum", "n_lines": "min"}).first()
+    assert sorted(out) == [299, 400002]

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, numbered, texts
+from loamix.llm.common import Shared, numbered, sliced, texts
 
 #: Bytes that separate words become spaces, A-Z become a-z; bytes over 0x7F are parts of words.
 WORD_BYTES = bytes(
@@ -148,45 +149,49 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(bench: DataFrame, window: int, most_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """Automata over all items, each of at most most_words words unless one item alone has more."""
-    groups: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
+def automata(bench: DataFrame, window: int, most_words: int = AUTOMATON_WORDS) -> Iterator[SuffixAutomaton]:
+    """Automata over all items, each of at most most_words words unless one item alone has more; one is held at a time."""
+    group: list[tuple[str, list[bytes]]] = []
+    size, made = 0, False
     rows = bench.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     for row in rows.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         words = words_of(row["text"].encode("utf-8", "surrogatepass"))
         if not words:
             continue
         if size and size + len(words) > most_words:
-            groups.append([])
-            size = 0
-        groups[-1].append((row["i"], words))
+            yield SuffixAutomaton(group, window)
+            group, size, made = [], 0, True
+        group.append((row["i"], words))
         size += len(words)
-    return [SuffixAutomaton(group, window) for group in groups]  # of an empty benchmark, one that matches nothing
+    if group or not made:
+        yield SuffixAutomaton(group, window)  # of an empty benchmark, one that matches nothing
 
 
 FOUND = "n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def scanned(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """docs with n_words, spans (of word positions, merged) and items (ids, sorted as strings).
+def scanned(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS, finish=None, finished: str = "") -> DataFrame:
+    """docs with n_words, spans (of word positions, merged) and items (ids, sorted as strings); or what `finish`
+    makes of each batch of such rows in the same worker, of the schema `finished`.
 
     One pass without a shuffle; only a benchmark over most_words takes one more
     narrow pass for each further automaton.
     """
     spark = docs.sparkSession
-    parts = automata(bench, window, most_words)
     out = docs
-    for k, part in enumerate(parts):
-        shared = Shared(spark, part)
+    parts = automata(bench, window, most_words)
+    k, automaton = 0, next(parts)
+    while automaton is not None:
+        shared, automaton = Shared(spark, automaton), next(parts, None)
+        last = automaton is None and finish is not None
         first = k == 0
         names = [c for c in out.columns if c not in ("n_words", "spans", "items")] if not first else list(out.columns)
         schema = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in names)
 
-        def run(batches, shared=shared, names=tuple(names), first=first):
+        def run(batches, shared=shared, names=tuple(names), first=first, last=last):
             automaton = shared.get()
-            for batch in batches:
+            for batch in (part for whole in batches for part in sliced(whole, "text")):
                 counts, spans, items = [], [], []
                 for n, text in enumerate(texts(batch.column(batch.schema.get_field_index("text")))):
                     words = words_of(text)
@@ -197,13 +202,15 @@ def scanned(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_words:
                     counts.append(len(words))
                     spans.append([{"a": a, "b": b} for a, b in hit])
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays(
+                told = pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)) for c in names]
                     + [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
                     [*names, "n_words", "spans", "items"],
                 )
+                yield finish(told) if last else told
 
-        out = out.mapInArrow(run, f"{schema}, {FOUND}")
+        out = out.mapInArrow(run, finished if last else f"{schema}, {FOUND}")
+        k += 1
     return out
 
 
@@ -231,28 +238,38 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_cover: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_cover: float = 0.8, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """docs without contaminated spans; a document with over most_cover of its words hit goes.
 
     What is left of a document that is hit has n_chars counted anew; a document
-    without hits is returned as it is. One left without any word goes too.
+    without hits is returned as it is. One left without any word goes too. Texts
+    are cut in the worker that scanned them last.
     """
     inner, names = numbered(docs)
-    found = scanned(inner.withColumn("text", F.col(names[docs.columns.index("text")])), bench, window)
-
-    @F.pandas_udf("string")
-    def without(text, spans):
-        import pandas as pd
-
-        return pd.Series([t if t is None or not len(s) else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(text, spans)])
-
-    hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
-    left = found.filter((F.size("spans") == 0) | ((hit <= F.col("n_words") * most_cover) & (hit < F.col("n_words"))))
-    left = left.withColumn("text", without("text", "spans"))
-    counted = F.when(F.size("spans") > 0, F.length("text"))
-    out = {c: F.col(x) for c, x in zip(docs.columns, names)} | {"text": F.col("text")}
+    name_of = dict(zip(docs.columns, names))
+    whole = inner.withColumnRenamed(name_of["text"], "text")
+    name_of["text"] = "text"
+    columns = list(name_of.values())
+    kept_schema = "".join(f"`{c}` {whole.schema[c].dataType.simpleString()}, " for c in columns)
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, words = batch.column("spans").to_pylist(), batch.column("n_words").to_pylist()
+        hit = [sum(s["b"] - s["a"] for s in own) for own in spans]
+        keep = [not h or (h <= n * most_cover and h < n) for h, n in zip(hit, words)]
+        column = batch.column(batch.schema.get_field_index("text"))
+        if any(k and h for k, h in zip(keep, hit)):
+            told = column.to_pylist()
+            told = [cut(t, [(s["a"], s["b"]) for s in own]) if k and h else t for t, own, k, h in zip(told, spans, keep, hit)]
+            column = pa.array(told, pa.string())
+        arrays = [column if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
+        out = pa.RecordBatch.from_arrays([*arrays, pa.array([h > 0 for h in hit], pa.bool_())], [*columns, "hit"])
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    left = scanned(whole, bench, window, most_words, finish, f"{kept_schema}hit boolean")
+    out = {c: F.col(x) for c, x in name_of.items()}
     if "n_chars" in out:
-        out["n_chars"] = F.coalesce(counted.cast(docs.schema["n_chars"].dataType), out["n_chars"])
+        counted = F.when(F.col("hit"), F.length("text")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("hit"), counted).otherwise(out["n_chars"])
     return left.select(*[column.alias(c) for c, column in out.items()])
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, fold
+from loamix.llm.common import Shared, fold, sliced
 from loamix.llm.sampling import sample
 
 PER_LANG = 500
@@ -137,12 +137,12 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = shared.get()
         for batch in batches:
-            found = [own.predict(t) for t in batch.column("text").to_pylist()]
-            langs, scores, outside = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(outside, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "rejected"],
-            )
+            for part in sliced(batch, "text"):
+                langs, scores, outside = zip(*[own.predict(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(outside, pa.bool_())],
+                    ["doc_id", "lang_pred", "score", "rejected"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")

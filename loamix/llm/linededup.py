@@ -78,15 +78,15 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
-    def feed(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch's (doc, hash) rows as a run and returns its suspects: the rows whose hash the runs
-        knew before, or other documents of the batch hold too. A document belongs to one batch."""
+    def feed(self, lines: DataFrame) -> tuple[DataFrame, str]:
+        """Adds a batch's (doc, hash) rows as a run and returns its suspects, written, and their path: the rows whose
+        hash the runs knew before, or other documents of the batch hold too. A document belongs to one batch."""
         own = lines.distinct().groupBy("hash").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
         name = self._written(own)
         run = self.spark.table(name)
         new = self.unseen(run.filter("n_docs = 1"))
         known = run.hint("merge").join(new.select("hash").hint("merge"), "hash", "left_anti")
-        suspects, _ = stored(holders(lines, known.select("hash")).select("doc", "hash"), "suspects")
+        suspects = stored(holders(lines, known.select("hash")).select("doc", "hash"), "suspects")
         self._put(0, name)
         return suspects
 
@@ -168,15 +168,18 @@ def condemned(docs: DataFrame, least_chars: int, least_docs: int, batches: int,
     batch = descending(docs.select(hashed_id().alias("doc")), batches).cast("int").alias("batch")
     lines, lines_path = stored(line_hashes(docs, least_chars).select("doc", "hash", batch), "line-hashes", ["batch"])
     runs = LineRuns(spark, fanout)
-    suspects = None
+    suspects, paths = None, []
     for k in range(batches):
-        found = runs.feed(lines.filter(F.col("batch") == k).select("doc", "hash"))
+        found, path = runs.feed(lines.filter(F.col("batch") == k).select("doc", "hash"))
+        paths.append(path)
         suspects = found if suspects is None else suspects.unionByName(found)
-    index, _ = stored(runs.index().filter(F.col("n_docs") >= least_docs), "line-index")
+    index, index_path = stored(runs.index().filter(F.col("n_docs") >= least_docs), "line-index")
     runs.drop()
-    drop_stored(spark, lines_path)
     lost = holders(suspects, index.select("hash", "max_doc")).filter(F.col("doc") != F.col("max_doc")).select("doc", "hash")
-    return lost.groupBy("doc").agg(F.collect_set("hash").alias("lost_hashes"))
+    out, _ = stored(lost.groupBy("doc").agg(F.collect_set("hash").alias("lost_hashes")), "lost-lines")
+    for path in (lines_path, index_path, *paths):
+        drop_stored(spark, path)
+    return out
 
 
 def judged(

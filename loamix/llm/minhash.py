@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamix.llm.common import Shared, drop_stored, stored, utf8
+from loamix.llm.common import Shared, drop_stored, numbered, stored, utf8
 from loamix.llm.components import stars
 from loamix.llm.shingles import mix, shingle_sets
 
@@ -35,6 +35,8 @@ SHINGLE = 5
 LEAST_EQUAL = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Heads that a group takes in the first of the later rounds, at most, and by how much that grows each round.
 FIRST_HEADS, MORE_HEADS = 16, 8
+#: Places that the members of one shingle are dealt to.
+SPREAD = 16
 #: Places of the rough count of shingles: 8 MB, whatever the input.
 PLACES = 1 << 20
 
@@ -121,9 +123,9 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def pair_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text) of the wanted ids, written once."""
-    return stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "pair-texts")[0]
+def pair_texts(wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
+    """(id, text) of the wanted ids, written once, and its path."""
+    return stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "pair-texts")
 
 
 def confirmed(pairs: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -153,9 +155,9 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n (size of the shingle set) and component: the least doc_id reachable over links, itself included."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    signs, _ = stored(signed(docs, k), "signatures")
+    signs, signs_path = stored(signed(docs, k), "signatures")
     filled = signs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes, _ = stored(
+    classes, classes_path = stored(
         filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes"
     )
     buckets, buckets_path = stored(banded(classes), "buckets")
@@ -166,23 +168,27 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     # first round: every member of a bucket with the bucket's least
     pairs = members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     passed, passed_path = stored(likely(pairs, classes), "likely")
-    found = pair_texts(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
+    found, found_path = pair_texts(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
     star, star_path = stars(confirmed(passed, found, k).unionByName(same_id(signs, classes)))
     drop_stored(spark, passed_path)
+    drop_stored(spark, found_path)
 
     # what round one left apart, though it shares a bucket
     placed = with_components(members.select("key", "rep"), star)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    apart, _ = stored(placed.join(mixed, "key").select("rep").distinct(), "apart")
+    apart, apart_path = stored(placed.join(mixed, "key").select("rep").distinct(), "apart")
     drop_stored(spark, members_path)
     if not apart.isEmpty():
-        star = linked_exactly(apart, classes, texts, star, star_path, k)
+        star, star_path = linked_exactly(apart, classes, texts, star, star_path, k)
 
     reps = classes.select("n", "d1", "d2", "rep").join(star.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     reps = reps.select("n", "d1", "d2", F.coalesce("c", "rep").alias("component"))
     joined = signs.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n", component.alias("component"))
+    out, _ = stored(joined.select("doc_id", "n", component.alias("component")), "components")
+    for path in (signs_path, classes_path, apart_path, star_path):
+        drop_stored(spark, path)
+    return out
 
 
 def with_components(rows: DataFrame, star: DataFrame) -> DataFrame:
@@ -231,8 +237,8 @@ def prefixes(found: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
     return found.mapInArrow(run, "key bigint, rep bigint, n bigint, pos bigint")
 
 
-def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star: DataFrame, star_path: str, k: int) -> DataFrame:
-    """Components after all links among the classes in `apart`, by prefix and position filtering.
+def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star: DataFrame, star_path: str, k: int) -> tuple[DataFrame, str]:
+    """Components, and their path, after all links among the classes in `apart`, by prefix and position filtering.
 
     Sets are put in one order, rare shingles first. Two sets of sizes x and y
     that meet the threshold share o = ceil(t (x + y) / (1 + t)) shingles, so
@@ -243,10 +249,10 @@ def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star:
     heads grow in number from round to round until none is left.
     """
     spark = apart.sparkSession
-    near_classes, _ = stored(classes.join(apart, "rep", "left_semi"), "classes-apart")
-    found = pair_texts(apart.select(F.col("rep").alias("id")), texts)
+    near_classes, classes_path = stored(classes.join(apart, "rep", "left_semi"), "classes-apart")
+    found, found_path = pair_texts(apart.select(F.col("rep").alias("id")), texts)
     members, members_path = stored(prefixes(found, frequencies(found, k), k), "prefixes")
-    spent, heads_a_group = None, FIRST_HEADS
+    spent, heads_a_group, heads_paths = None, FIRST_HEADS, []
     while True:
         placed = with_components(members, star)
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
@@ -259,15 +265,20 @@ def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star:
         if spent is not None:
             unspent = unspent.join(spent, "rep", "left_anti")
         salt = F.pmod(F.xxhash64("rep"), F.lit(heads_a_group)).alias("salt")
-        heads, _ = stored(unspent.groupBy("key", salt).agg(F.min("rep").alias("rep")).select("rep").distinct(), "heads")
+        heads, heads_path = stored(unspent.groupBy("key", salt).agg(F.min("rep").alias("rep")).select("rep").distinct(), "heads")
+        heads_paths.append(heads_path)
         if heads.isEmpty():
-            drop_stored(spark, members_path)
-            return star
-        of_heads = left.join(heads, "rep", "left_semi").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "comp")])
-        others = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "comp")])
+            for path in (members_path, classes_path, found_path, *heads_paths):
+                drop_stored(spark, path)
+            return star, star_path
+        # members of a frequent shingle are dealt to several places, and its heads go to each
+        every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place")
+        place = F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int").alias("place")
+        of_heads = left.join(heads, "rep", "left_semi").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "comp")], every)
+        others = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "comp")], place)
         need = F.ceil(F.lit(THRESHOLD) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + THRESHOLD))
         fits = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
-        pairs = of_heads.join(others, "key").filter((F.col("comp_a") != F.col("comp_b")) & fits)
+        pairs = of_heads.join(others, ["key", "place"]).filter((F.col("comp_a") != F.col("comp_b")) & fits)
         pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         passed, passed_path = stored(likely(pairs, near_classes), "likely")
         after, after_path = stars(confirmed(passed, found, k).unionByName(star))
@@ -303,14 +314,18 @@ def deduped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     without. They are found by counting ids, so texts of other rows don't move.
     """
     linked = F.col("doc_id") != F.col("component")
-    ids = grouped(docs, k).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(linked).alias("gone"), F.count("*").alias("n_rows"))
+    ids = grouped(docs.select("doc_id", "text"), k).filter(F.col("doc_id").isNotNull())
+    ids = ids.groupBy("doc_id").agg(F.max(linked).alias("gone"), F.count("*").alias("n_rows"))
     found, _ = stored(ids.filter("gone or n_rows > 1").select("doc_id", "gone"), "gone-or-repeated")
-    once = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.filter("not gone").select("doc_id")
-    if repeated.isEmpty():
-        return once
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    order = F.struct(F.coalesce(F.trim("text"), F.lit("")) == "", "text", *[c.alias(f"o{i}") for i, c in enumerate(plain)])
-    rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("one"))
-    return once.unionByName(rows.select(*[F.col("one").getField(c).alias(c) for c in docs.columns]))
+    inner, names = numbered(docs)
+    of = dict(zip(docs.columns, names))
+    found = found.select(F.col("doc_id").alias("id"), "gone")
+    same = F.col(of["doc_id"]) == F.col("id")
+    out = inner.join(found.select("id"), same, "left_anti")
+    repeated = found.filter("not gone").select("id")
+    if not repeated.isEmpty():
+        plain = [x for c, x in of.items() if c != "text" and not isinstance(docs.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+        order = F.struct(F.coalesce(F.trim(of["text"]), F.lit("")) == "", of["text"], *plain)
+        rows = inner.join(repeated, same, "left_semi").groupBy(of["doc_id"]).agg(F.min_by(F.struct(*names), order).alias("one"))
+        out = out.unionByName(rows.select("one.*"))
+    return out.select(*[F.col(x).alias(c) for c, x in of.items()])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, stored
+from loamix.llm.common import Shared, drop_stored, sliced, stored
 from loamix.llm.shingles import mix
 
 WIDTH = 2048
@@ -98,17 +98,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = cuts_as_known(self.tokenizer)
         self.known = Known(self.tokenizer.model.tokenize)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.known.turn()
         of = self.known.__getitem__
         return [
-            b"".join(map(of, t.lower().split())) if PLAIN.fullmatch(t) else packed_ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            b"".join(map(of, t.lower().split())) if self.by_parts and PLAIN.fullmatch(t) else packed_ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
             for t in texts
         ]
 
 
+def cuts_as_known(tokenizer) -> bool:
+    """Whether the tokenizer cuts a sample of plain text as `PARTS` does, lower-cased and without joining across white space."""
+    sample = "It's THE 1st e-mail (of 23): we'll go!? Ça été\tÜber--naïve\nx.y_z 'tis don'T"
+    known = Known(tokenizer.model.tokenize)
+    try:
+        return b"".join(map(known.__getitem__, sample.lower().split())) == packed_ids(tokenizer.encode(sample, add_special_tokens=False).ids)
+    except Exception:  # a model that can't be asked for one word
+        return False
+
+
+def vocabulary_of(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    if size > 1 << 16:
+        raise ValueError(f"ids are held in 16 bits; {path} has {size}")
+    return size
+
+
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker: it outlives a task, and with it the words it knows."""
     state = sys.modules.setdefault("loamix_worker_state", types.ModuleType("loamix_worker_state"))
@@ -126,7 +146,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, sizes, places = [], [], []
             for i in range(0, len(texts), 256):
@@ -286,10 +306,11 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, sh
     a place that very many documents share is cut between shards. A task holds
     one shard of at most shard_tokens tokens, or one longer document, at a time.
     """
-    tokens, _ = stored(tokenized(docs, tokenizer or default_tokenizer()), "tokens")
+    tokenizer = tokenizer or default_tokenizer()
+    vocabulary = max(END + 1, vocabulary_of(tokenizer))
+    tokens, tokens_path = stored(tokenized(docs, tokenizer), "tokens")
     spark = docs.sparkSession
     total = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
-    vocabulary = 1 << 16
     df = document_frequencies(tokens, vocabulary)
     n_docs = max(1, total["docs"])
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -345,5 +366,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, sh
             yield from flush()
 
     schema = f"doc_id {kind}, {PIECES}" + (", ids binary" if with_ids else "")
-    return ranged.select("doc_id", "ids", "task").mapInArrow(run, schema)
+    # the ranges are drawn from a sample of each run's own, so the pieces are written once
+    out, _ = stored(ranged.select("doc_id", "ids", "task").mapInArrow(run, schema), "pieces")
+    drop_stored(spark, tokens_path)
+    return out
 

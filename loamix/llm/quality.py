@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, fold, utf8
+from loamix.llm.common import Shared, fold, numbered, sliced, utf8
 from loamix.llm.sampling import sample
 
 PER_CLASS = 1500
@@ -199,27 +199,19 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, long
 
 
 def scored(docs: DataFrame, net: Net, columns: list[str], name: str = "score") -> DataFrame:
-    """`columns` of docs with the score of the text, which travels once; one narrow pass."""
+    """`columns` of docs with the score of the text, which travels once; one narrow pass. Column names hold no dots."""
     shared = Shared(docs.sparkSession, net)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    inner = [f"c{i}" for i in range(len(columns))]
-    text = inner[columns.index("text")] if "text" in columns else "scored_text"
-    rows = docs.select(*[F.col(c).alias(x) for c, x in zip(columns, inner)], *([] if text in inner else [F.col("text").alias(text)]))
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
 
     def run(batches):
         model = shared.get()
         for batch in batches:
-            if batch.num_rows:
-                raw, at = utf8(batch.column(text))
-                values, i = [], 0
-                while i < len(at) - 1:  # about 4 MB of texts at a time
-                    j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 22), "right")) - 1)
-                    values.append(model.score(raw[at[i] : at[j]], at[i : j + 1] - at[i]))
-                    i = j
-                arrays = [batch.column(x) for x in inner]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(values))], [*columns, name])
+            for part in sliced(batch, "text"):
+                values = pa.array(model.score(*utf8(part.column(part.schema.get_field_index("text")))))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in columns], values], [*columns, name])
 
-    return rows.mapInArrow(run, f"{schema}, {name} double")
+    return rows.mapInArrow(run, f"{schema}{name} double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,5 +221,9 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose score is at least `least`."""
-    out = scored(docs, trained(docs, labels), docs.columns, "quality_score_")
-    return out.filter(F.col("quality_score_") >= least).select(*docs.columns)
+    inner, names = numbered(docs)
+    name_of = dict(zip(docs.columns, names))
+    whole = inner.withColumnRenamed(name_of["text"], "text")
+    name_of["text"] = "text"
+    out = scored(whole, trained(docs.select("doc_id", "text"), labels), list(name_of.values()), "score")
+    return out.filter(F.col("score") >= least).select(*[F.col(x).alias(c) for c, x in name_of.items()])

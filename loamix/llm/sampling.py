@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamix.llm.common import drop_stored, stored
+
 
 def sample(labelled: DataFrame, docs: DataFrame, per_label: int, longest: int) -> list[tuple[str, object]]:
     """(text, label) of at most per_label documents of each label, in a fixed order.
 
-    labelled: (doc_id, label). Ids are chosen first, by a hash of the id and
-    without reading texts; then the chosen documents of 1 to `longest`
-    characters are read. So the driver holds per_label * longest characters a
-    label at most. The chosen ids are broadcast; their number is bounded.
+    labelled: (doc_id, label). Candidates are documents with a text of 1 to
+    `longest` characters; the ids of the least hashes are chosen among them
+    without moving texts, then one text of each chosen id is read (the least, if
+    rows share an id). So the driver holds per_label texts of `longest`
+    characters a label at most, and the ids that are broadcast are as few.
     """
     spark = docs.sparkSession
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 40))
-    ids = labelled.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label", unit.alias("u"))
-    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    chosen = []
-    for label, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        under = int((1 << 40) * min(1.0, 1.2 * per_label / n))
-        # the filter leaves about 1.2 * per_label rows; the limit holds if one id has very many rows
-        chosen += ids.filter((F.col("label") == F.lit(label)) & (F.col("u") <= under)).distinct().limit(4 * per_label + 100).collect()
-    near = spark.createDataFrame([(r["doc_id"], r["label"], r["u"]) for r in chosen], ids.schema)
-    right = docs.select("doc_id", "text").filter(F.length("text").between(1, longest))
-    rows = right.join(F.broadcast(near), "doc_id").select("doc_id", "text", "label", "u").collect()
-    out: list[tuple[str, object]] = []
-    taken: dict[object, int] = {}
-    for r in sorted(rows, key=lambda r: (str(r["label"]), r["u"], r["doc_id"], r["text"])):
-        if taken.setdefault(r["label"], 0) < per_label:
-            taken[r["label"]] += 1
-            out.append((r["text"], r["label"]))
-    return out
+    fits = docs.filter(F.col("doc_id").isNotNull() & F.length("text").between(1, longest))
+    unit = F.xxhash64(F.col("doc_id").cast("bigint"))
+    ids = labelled.filter(F.col("label").isNotNull()).select("doc_id", "label").join(fits.select("doc_id"), "doc_id", "left_semi")
+    # one label for an id that has several: the least
+    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("u", unit)
+    order = Window.partitionBy("label").orderBy("u", "doc_id")
+    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label", "u")
+    kept, path = stored(chosen, "sample-ids")
+    texts = fits.select("doc_id", "text").join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label", "u").agg(F.min("text").alias("text"))
+    rows = texts.collect()
+    drop_stored(spark, path)
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (str(r["label"]), r["u"], r["doc_id"]))]

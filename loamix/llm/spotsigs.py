@@ -36,7 +36,7 @@ ANCHORS = (
 START, END = "^", "~"
 #: Rows of documents in one stretch of the order of ids.
 STRETCH = 4_000
-FAN = 64
+FAN = 256
 NO_ID = -(1 << 63)
 
 

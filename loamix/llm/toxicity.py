@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamix.llm.common import Shared, fold
+from loamix.llm.common import Shared, fold, sliced
 from loamix.llm.sampling import sample
 
 PER_CLASS = 4000
@@ -141,8 +141,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         score = shared.get().scorer()
         for batch in batches:
-            values = [score(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
+            for part in sliced(batch, "text"):
+                values = [score(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

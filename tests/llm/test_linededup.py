@@ -52,13 +52,13 @@ def test_runs_are_levelled_and_probed(spark):
     frame = spark.createDataFrame([(i, f"{'word ' * 10}{i % 5}") for i in range(10)], "doc_id long, text string")
     runs = L.LineRuns(spark, fanout=2)
     for k in range(5):
-        suspects = runs.feed(L.line_hashes(frame.filter(f"doc_id % 5 = {k}")))
+        suspects, _ = runs.feed(L.line_hashes(frame.filter(f"doc_id % 5 = {k}")))
         assert sorted(r["doc"] for r in suspects.collect()) == [k, k + 5]  # both rows of the batch hold the line
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted((r["n_docs"], r["max_doc"]) for r in runs.index().collect()) == [(2, k) for k in range(5, 10)]
     new = L.line_hashes(spark.createDataFrame([(99, f"{'word ' * 10}3\n{'other ' * 9}")], "doc_id long, text string"))
     assert runs.unseen(new).count() == 1
-    assert runs.feed(new).count() == 1  # the line that the runs knew
+    assert runs.feed(new)[0].count() == 1  # the line that the runs knew
     runs.drop()
 
 

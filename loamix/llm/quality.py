@@ -1,10 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Input channels are the bytes themselves and, for each place, whether its eight
-bytes stood there one short period before. Learned filters run over the whole
-text; their responses are max-pooled in overlapping chunks of 512 bytes, the
-period channel is averaged there, and the means and maxima over all chunks
-combine into one probability.
+Learned filters run over the bytes of the whole text; their responses are
+max-pooled in overlapping chunks of 512 bytes, and the means and maxima over all
+chunks combine into one probability.
 
 The model is fitted on the driver, on at most PER_CLASS labelled texts of each
 class of at most LONGEST characters (both documented bounds); scoring reads
@@ -33,7 +31,6 @@ LONGEST = 8000
 HALF = 256
 WIDTH = 6
 FILTERS = 16
-PERIODS = range(1, 33)
 #: Bytes that pass through the filters at a time.
 BLOCK = 1 << 18
 
@@ -59,42 +56,25 @@ def responses(flat: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarr
     return out
 
 
-def periodic(flat: np.ndarray) -> np.ndarray:
-    """Share of places in each half where the same eight bytes stood one period before."""
-    found = np.zeros(len(flat), bool)
-    if len(flat) > 8:
-        eight = np.ndarray((len(flat) - 7,), "<u8", np.ascontiguousarray(flat), strides=(1,))
-        for d in PERIODS:
-            found[d : len(eight)] |= eight[d:] == eight[:-d]
-        found[: len(eight)] &= eight != 0
-    return found.reshape(-1, HALF).mean(axis=1, dtype=np.float32)
-
-
 @dataclass
 class Net:
     table: np.ndarray  # (WIDTH, 256, FILTERS)
-    dense: np.ndarray  # (2 * (FILTERS + 1),)
+    dense: np.ndarray  # (2 * FILTERS,)
     bias: float
     constant: float | None = None
 
     def pooled(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(texts, 2 * (FILTERS + 1)): mean and maximum over chunks."""
+        """(texts, 2 * FILTERS): mean and maximum over chunks."""
         flat, halves = padded(raw, at)
         bounds = np.concatenate([[0], np.cumsum(halves)])
         ends = bounds[1:] * HALF
-        top = np.empty((int(bounds[-1]), FILTERS + 1), np.float32)
+        top = np.empty((int(bounds[-1]), FILTERS), np.float32)
         for a in range(0, len(flat), BLOCK):
             b = min(len(flat), a + BLOCK)
             more = np.concatenate([flat[a:b], flat[b : b + WIDTH]])  # windows at the end of the block read on
             own = ends[(ends > a) & (ends <= b)] - a
             seen = responses(more, own, self.table)[: b - a]
-            top[a // HALF : b // HALF, :FILTERS] = seen.reshape(-1, HALF, FILTERS).max(axis=1)
-            back = max(0, a - 64)
-            near = np.concatenate([flat[back:b], flat[b : b + 8]])
-            near = np.concatenate([np.zeros(HALF - (a - back) if a > back else 0, np.uint8), near])
-            near = np.concatenate([near, np.zeros(-len(near) % HALF, np.uint8)])
-            skip = 1 if a > back else 0
-            top[a // HALF : b // HALF, FILTERS] = periodic(near)[skip : skip + (b - a) // HALF]
+            top[a // HALF : b // HALF] = seen.reshape(-1, HALF, FILTERS).max(axis=1)
         return chunk_pool(top, bounds)
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,15 +85,14 @@ class Net:
 
 
 def chunk_pool(top: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Halves to overlapping chunks of two (filters: maximum, period: mean), then mean and maximum over a text's chunks."""
+    """Halves to overlapping chunks of two by their maximum, then mean and maximum over a text's chunks."""
     chunk = top.copy()
     inner = np.ones(len(top), bool)
     inner[bounds[1:] - 1] = False  # a text's last half has no follower
     at = np.flatnonzero(inner)
-    chunk[at, :FILTERS] = np.maximum(top[at, :FILTERS], top[at + 1, :FILTERS])
-    chunk[at, FILTERS] = (top[at, FILTERS] + top[at + 1, FILTERS]) / 2
+    chunk[at] = np.maximum(top[at], top[at + 1])
     single = np.diff(bounds) == 1
-    chunk[:, :FILTERS] = np.maximum(chunk[:, :FILTERS], 0)
+    chunk = np.maximum(chunk, 0)
     drop = np.zeros(len(top), bool)
     drop[bounds[1:][~single] - 1] = True
     kept = chunk[~drop]
@@ -127,7 +106,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 1300, batch: int = 32, rate: f
     labels = np.array([int(y) for _, y in rows], np.float64)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
-    dense = rng.normal(0, 0.3, 2 * (FILTERS + 1))
+    dense = rng.normal(0, 0.3, 2 * FILTERS)
     net = Net(table, dense, 0.0)
     if len(set(labels.tolist())) < 2:
         net.constant = float(labels.mean()) if len(labels) else 0.5
@@ -147,9 +126,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 1300, batch: int = 32, rate: f
             bounds = np.concatenate([[0], np.cumsum(halves)])
             seen = responses(flat, bounds[1:] * HALF, net.table).reshape(-1, HALF, FILTERS)
             where = seen.argmax(axis=1)
-            top = np.empty((len(seen), FILTERS + 1), np.float32)
-            top[:, :FILTERS] = np.take_along_axis(seen, where[:, None, :], 1)[:, 0]
-            top[:, FILTERS] = periodic(flat)
+            top = np.take_along_axis(seen, where[:, None, :], 1)[:, 0]
             x = chunk_pool(top, bounds).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(x @ net.dense + net.bias, -40, 40)))
             slope = (p - labels[part]) * weight[part] / len(part)
@@ -167,13 +144,13 @@ def table_gradient(flat, top, where, bounds, grad_x, table) -> np.ndarray:
     tail = np.concatenate([flat, np.zeros(WIDTH, np.uint8)])
     rows, columns, values = [], [], []
     for n, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        own = top[a:b, :FILTERS]
+        own = top[a:b]
         chunks = max(1, b - a - 1)
         pick = np.arange(chunks)[:, None] + ((own[1 : chunks + 1] > own[:chunks]) if b - a > 1 else np.zeros((1, FILTERS), int))
         value = np.take_along_axis(own, pick, 0)
         grad = np.broadcast_to(grad_x[n, :FILTERS] / chunks, value.shape).copy()
         best = value.argmax(axis=0)
-        grad[best, np.arange(FILTERS)] += grad_x[n, FILTERS + 1 : 2 * FILTERS + 1]
+        grad[best, np.arange(FILTERS)] += grad_x[n, FILTERS:]
         grad[value <= 0] = 0
         rows.append((pick + a).ravel())
         columns.append(np.tile(np.arange(FILTERS), chunks))

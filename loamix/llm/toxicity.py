@@ -3,8 +3,10 @@
 A text's features are the distinct n-grams of 3 to 5 characters of its lower
 case, hashed to 2**20 places. A place counts by its naive Bayes log-count
 ratio, learned from labelled texts, times a weight of a regularised logistic
-regression. Only places whose ratio the sample supports (by chi-square) take
-part, so that the noise of rare n-grams doesn't add up over long texts.
+regression. Only places whose ratio the sample supports take part: by chi-square
+at a level of one in the number of places tried, so less than one place in all
+is let in by chance, whatever the size of the sample. Near copies in the sample
+count once, as they support nothing on their own.
 
 The model is fitted on the driver, on at most PER_CLASS labelled texts of each
 class of at most LONGEST characters (documented bounds); scoring reads every
@@ -19,6 +21,7 @@ empty result; further columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,16 @@ from pyspark.sql import functions as F
 
 from loamix.llm.common import Shared, fold, sliced
 from loamix.llm.sampling import sample
+from loamix.llm.shingles import mix, shingle_sets
 
 PER_CLASS = 4000
 LONGEST = 40_000
 GRAMS = (3, 4, 5)
 PLACES = 1 << 20
-#: Places that take part at most, and the least chi-square of one.
-MOST_FEATURES = 20_000
-LEAST_CHI = 24.0
+#: Fewest sample texts that hold a place.
+LEAST_TEXTS = 3
+#: Bands of two minima over runs of five words that tell near copies in the sample.
+BANDS = 4
 #: Characters hashed at a time; n-grams across the cut are seen by an overlap.
 BLOCK = 1 << 20
 
@@ -85,7 +90,29 @@ class Model:
         return score
 
 
+def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """rows without near copies of an earlier row of the same label."""
+    seen, out = set(), []
+    for text, label in rows:
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        runs = next(shingle_sets(raw, np.array([0, len(raw)]), 5))
+        if len(runs):
+            least = [int(mix(runs ^ np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for j in range(1, 2 * BANDS + 1)]
+            keys = {(label, b, *least[2 * b : 2 * b + 2]) for b in range(BANDS)}
+            if keys & seen:
+                continue
+            seen |= keys
+        out.append((text, label))
+    return out
+
+
+def least_chi(tried: int) -> float:
+    """The chi-square (one degree) that one of so many tries exceeds by chance."""
+    return NormalDist().inv_cdf(1 - 0.5 / max(2, tried)) ** 2
+
+
 def fit(rows: list[tuple[str, int]], rounds: int = 300, penalty: float = 2e-3) -> Model:
+    rows = distinct(rows)
     y = np.array([int(v) for _, v in rows], np.float64)
     empty = np.zeros(PLACES, np.float32)
     if len(set(y.tolist())) < 2:
@@ -97,9 +124,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, penalty: float = 2e-3) -
     both = with1 + with0
     expected = both * n1 / (n1 + n0)
     chi = (with1 - expected) ** 2 / np.maximum(expected * (n0 / (n1 + n0)) * (1 - both / (n1 + n0)), 1e-9)
-    chi[both < 3] = 0
-    chosen = np.argsort(-chi, kind="stable")[:MOST_FEATURES]
-    chosen = chosen[chi[chosen] >= LEAST_CHI]
+    tried = both >= LEAST_TEXTS
+    chosen = np.flatnonzero(tried & (chi >= least_chi(int(tried.sum()))))
     ratio = np.log((with1[chosen] + 1) / (n1 + 2)) - np.log((with0[chosen] + 1) / (n0 + 2))
     number = np.full(PLACES, -1, np.int32)
     number[chosen] = np.arange(len(chosen))

@@ -1,10 +1,13 @@
 import random
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamix.llm import langid, quality, toxicity
 from loamix.llm.common import texts, utf8
+from loamix.llm.sampling import sample
 
 WORDS = [a + b for a in ("ba", "do", "ki", "lu", "me") for b in ("ra", "te", "no", "shi", "pu")]
 
@@ -61,7 +64,7 @@ def test_quality_blocks_make_no_difference(monkeypatch):
 
 def test_quality_gradient():
     rng = np.random.default_rng(3)
-    net = quality.Net(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float64), rng.normal(0, 0.3, 2 * (quality.FILTERS + 1)), 0.1)
+    net = quality.Net(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float64), rng.normal(0, 0.3, 2 * quality.FILTERS), 0.1)
     raw = np.frombuffer(b"some bytes of a text " * 40 + b"another", np.uint8)
     at = np.array([0, 700, len(raw)])
 
@@ -70,8 +73,7 @@ def test_quality_gradient():
         bounds = np.concatenate([[0], np.cumsum(halves)])
         seen = quality.responses(flat, bounds[1:] * quality.HALF, table).reshape(-1, quality.HALF, quality.FILTERS)
         where = seen.argmax(axis=1)
-        top = np.zeros((len(seen), quality.FILTERS + 1))
-        top[:, :-1] = seen.max(axis=1)
+        top = seen.max(axis=1)
         return flat, bounds, where, top, quality.chunk_pool(top, bounds) @ net.dense
 
     flat, bounds, where, top, z = forward(net.table)
@@ -112,3 +114,67 @@ def test_whole_texts_reach_python(spark):
     raw, at = utf8(array.slice(1))
     assert raw.tobytes() == "üx".encode() and at.tolist() == [0, 0, 0, 3]
     assert texts(array) == [b"a", b"", b"", "üx".encode()]
+
+
+def test_quality_forward_pass_against_loops():
+    """The score by the definition: filters at every place of the whole text, chunks of 512 by halves, mean and maximum."""
+    rng = np.random.default_rng(8)
+    net = quality.Net(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.3, 2 * quality.FILTERS), -0.2)
+    for raw in (b"", b"x", b"a text of some length. " * 9, rng.integers(0, 256, 1900).astype(np.uint8).tobytes()):
+        halves = max(1, -(-(len(raw) + quality.WIDTH - 1) // quality.HALF))
+        tail = raw + bytes(halves * quality.HALF + quality.WIDTH - len(raw))
+        seen = [sum(net.table[j, tail[i + j]] for j in range(quality.WIDTH)) for i in range(halves * quality.HALF)]
+        chunks = [np.maximum(0, np.max(seen[a * quality.HALF : (a + 2) * quality.HALF], axis=0)) for a in range(max(1, halves - 1))]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.dense + net.bias
+        assert abs(net.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_toxicity_score_against_sets():
+    rng = random.Random(4)
+    model = toxicity.fit([(prose(rng, 60), 0) for _ in range(60)] + [(prose(rng, 60) + " zork vile", 1) for _ in range(60)])
+    for text in ("", "a", "ZORK vile zork", prose(rng, 300) + " Vile é𝔘"):
+        framed = f" {text.lower()} "
+        grams = {framed[i : i + n] for n in toxicity.GRAMS for i in range(len(framed) - n + 1)}
+
+        def place(gram):
+            h = len(gram)
+            for c in gram:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                h ^= h >> 29
+            return h >> 44
+
+        z = model.bias + sum(float(model.weight[x]) for x in {place(g) for g in grams})
+        assert abs(model.scorer()(text) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_near_copies_count_once():
+    rng = random.Random(6)
+    text = prose(rng, 200)
+    rows = [(text + f" {i}", 1) for i in range(9)] + [(text, 0), ("", 0), ("", 0), ("one two", 1)]
+    assert toxicity.distinct(rows) == [rows[0], *rows[9:]]
+    assert 3.8 < toxicity.least_chi(20) < 3.9 and toxicity.least_chi(1 << 20) > toxicity.least_chi(1000)
+
+
+def test_samples(spark):
+    rows = [(i % 50, "x" * (1 + i % 50) + ("y" if i >= 50 else "")) for i in range(100)] + [(60, "z" * 99), (None, "n"), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(3, 0), (4, None)], "doc_id long, label int")
+    out = sample(labels, docs, 10, 40)
+    assert len(out) == 20 and all(t and len(t) <= 40 and "y" not in t for t, _ in out) and sorted(v for _, v in out) == [0] * 10 + [1] * 10
+    assert out == sample(labels, docs.repartition(7), 10, 40) and sample(labels.limit(0), docs, 5, 5) == []
+
+
+def test_columns_of_any_name(spark, small, monkeypatch):
+    monkeypatch.setattr(quality, "fit", partial(quality.fit, steps=20))
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("quality_score_", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("score", F.lit(2.0))
+    out = quality.accepted(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("quality_score_", "`a.b`", "score").collect()} == {(1, "x", 2.0)}
+
+
+def test_very_long_texts(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('the vile word and ', 60000) AS text", "'en' AS lang")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 2 AS int) AS toxic")
+    for module in (toxicity, quality):
+        out = module.digest(docs, labels).collect()
+        assert len(out) == 40 and {r["score"] for r in out} == {0.5}  # none is short enough to learn from
+    assert {r["lang_pred"] for r in langid.digest(docs).collect()} == {"und"}

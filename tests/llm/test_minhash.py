@@ -126,3 +126,11 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     whole = next(S.words_by_text(np.frombuffer(text, np.uint8), at)).tolist()
     monkeypatch.setattr(S, "BLOCK", 100)
     assert next(S.words_by_text(np.frombuffer(text, np.uint8), at)).tolist() == whole
+
+
+def test_columns_of_any_name_and_repeated_ids(spark):
+    rows = [(1, "one two three four five six", "p"), (1, "one two three four five six", "q"), (1, None, "r"), (2, "one two three four five six", "s"), (None, "one two three four five six", "t"), (3, "", "u")]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, `a.b` string, n int, component long")
+    out = M.deduped(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["a.b"], r["n"]) for r in out.collect()) == [("1", "p", 7), ("3", "u", 7), ("None", "t", 7)]

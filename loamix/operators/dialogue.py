@@ -14,15 +14,31 @@ FRAGMENT = (
 )
 ANY_DEMONSTRATIVE = r"(?i)\b(this|that|these|those|there)\b"
 SHORT, MOST = 30, 90
-#: Small talk, by whole words and by parts.
-GREETINGS = ("hello", "hi", "hey", "salam", "assalam")
-FAREWELLS = ("bye", "goodbye")
-PARTS = (
-    "thank", "thanks", "who are you", "what is your name", "your name", "how are you", "my name is", "i am in", "i study", "i'm in", "i am a student", "call me",
-    "what did i", "do you remember", "i told you", "as i said", "i mentioned", "what is my name", "my name", "what am i", "who am i", "summarize", "summary of",
-    "what have i asked", "what did we discuss", "recap", "divided by", "multiply", "solve this", "who invented", "population of", "currency of", "tell me a joke",
+#: Small talk. Greetings and farewells are whole words, all others parts of the message.
+GREETINGS = ("hello", "hi", "hey", "salam", "assalam", "good morning", "good evening", "good afternoon")
+THANKS = ("thank", "thanks", "shukriya", "jazakallah", "شکریہ")
+FAREWELLS = ("bye", "goodbye", "allah hafiz", "khuda hafiz")
+ABOUT_BOT = ("who are you", "what is your name", "your name", "how are you", "kaisa ho")
+OTHER_TOPICS = (
+    "what is 2+2", "what is 2 + 2", "what is 1+1", "what is 1 + 1", "2+2", "2 + 2", "1+1", "times 7", "times 5", "times 3", "divided by", "multiply", "solve this",
+    "what is the answer to", "who invented", "history of the world", "population of", "currency of", "capital of pakistan", "capital of india", "tell me a joke",
     "write a poem", "sing a song", "calculate", "what is the weather", "what time is it", "what is today", "translate", "capital of", "what is the meaning of",
 )
+PERSONAL = ("my name is", "i am in", "i study", "i'm in", "i am a student", "call me")
+MEMORY = (
+    "what did i", "do you remember", "i told you", "as i said", "i mentioned", "what did i tell", "what is my name", "my name", "what am i", "who am i",
+    "what year am i", "what type of student", "what kind of student", "which university am i", "what did i say", "summarize", "summary of", "what have i asked",
+    "what did we discuss", "recap",
+)
+PARTS = THANKS + ABOUT_BOT + PERSONAL + MEMORY + OTHER_TOPICS
+#: How questions are taken apart.
+INTENT_CUT = r"(?i)\s*,\s+and\s+|\s*,\s*|\s+and\s+|\s*;\s*|\s*&\s*"
+QUESTION = r"(?i)^(who\s+is|who\s+are|what\s+is|what\s+are|where\s+is|where\s+are|when\s+is|when\s+are|how\s+is|how\s+are|tell\s+me\s+about|tell\s+me)\b"
+INTENT_STOP = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "of", "to", "in", "on", "at", "for", "from", "by", "with", "do", "does", "did", "can", "could", "will",
+    "would", "should", "i", "me", "my", "we", "our", "you", "your", "it", "its", "there", "that", "this", "and", "or", "what", "which", "how", "many", "much",
+    "please", "tell", "give", "about",
+)
 #: Keyword families of the router, in order.
 HIERARCHY = (
     "report to whom", "report to who", "who report", "chain of command", "who manages", "who oversees", "who is above", "who is below", "management structure",
@@ -96,8 +112,30 @@ def route(text: Column, classified: Column | None = None) -> Column:
 
 
 def sub_questions(text: Column) -> Column:
-    """Parts of a question that asks for several things; each takes over the question word before it."""
-    return F.filter(F.transform(F.split(text, r"(?i)\s*(?:,\s*and\b|,|\band\b|;|&)\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    """Parts of a question that asks for several things; none if it asks for one.
+
+    A part without a question word takes over the last one before it. Without any
+    at the start, only parts with three content words count; else one is enough.
+    Two parts must be left.
+    """
+    parts = F.filter(F.transform(F.split(text, INTENT_CUT), lambda x: F.regexp_replace(x, "^[ ?.,]+|[ ?.,]+$", "")), lambda x: x != "")
+    prefix = lambda x: F.regexp_extract(x, QUESTION, 1)
+    asks = prefix(F.trim(text))
+
+    def content(part: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(part), F.lit("[a-z0-9']+"), F.lit(0))
+        return F.size(F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*INTENT_STOP)))
+
+    def take(done: Column, part: Column) -> Column:
+        own = prefix(part)
+        last = F.when(own != "", own).otherwise(done["last"])
+        whole = F.when(own != "", part).otherwise(F.concat(last, F.lit(" "), part))
+        return F.struct(last.alias("last"), F.concat(done["parts"], F.array(whole)).alias("parts"))
+
+    start = F.struct(asks.alias("last"), F.array().cast("array<string>").alias("parts"))
+    led = F.aggregate(parts, start, take, lambda done: done["parts"])
+    found = F.when(asks != "", F.filter(led, lambda p: content(p) >= 1)).otherwise(F.filter(parts, lambda p: content(p) >= 3))
+    return F.when((F.size(parts) > 1) & (F.size(found) > 1), found).otherwise(F.array().cast("array<string>"))
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", minutes: int = 30) -> DataFrame:

@@ -93,12 +93,14 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame, page: str = "doc_id"
 def redundant_propositions(rows: DataFrame) -> DataFrame:
     """(id, drop) for (id, text, category, parent_id): copies in a category go, but for the last live row of a parent."""
     keyed = rows.withColumn("key", T.proposition_key(F.col("text")))
-    same = Window.partitionBy("key", "category")
-    first = keyed.withColumn("is_first", F.col("id") == F.min("id").over(same))
-    family = Window.partitionBy("parent_id")
-    none_live = ~F.max("is_first").over(family)
-    last = F.col("id") == F.max("id").over(family)
-    return first.select("id", "parent_id", "category", "key", (~F.col("is_first") & ~(none_live & last)).alias("drop"))
+    # aggregates and joins, as one key or the null parent may have very many rows
+    firsts = keyed.groupBy(F.col("key").alias("k"), F.col("category").alias("c")).agg(F.min("id").alias("first_id"))
+    marked = keyed.join(firsts, F.col("key").eqNullSafe(F.col("k")) & F.col("category").eqNullSafe(F.col("c")))
+    marked = marked.withColumn("is_first", F.col("id") == F.col("first_id"))
+    family = marked.groupBy(F.col("parent_id").alias("p")).agg(F.max("is_first").alias("any_live"), F.max("id").alias("last_id"))
+    told = marked.join(family, F.col("parent_id").eqNullSafe(F.col("p")))
+    kept_last = ~F.col("any_live") & (F.col("id") == F.col("last_id"))
+    return told.select("id", "parent_id", "category", "key", (~F.col("is_first") & ~kept_last).alias("drop"))
 
 
 def orphan_stats(lines: DataFrame, page: str = "doc_id") -> DataFrame:

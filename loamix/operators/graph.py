@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamix.sources.scratch import stored
@@ -90,7 +90,19 @@ def communities(edges: DataFrame) -> DataFrame:
 def community_sizes(members: DataFrame) -> DataFrame:
     """community_id, community, size: numbered by size, then name."""
     sizes = members.groupBy("community").agg(F.count("*").alias("size"))
-    return sizes.withColumn("community_id", (F.row_number().over(Window.orderBy(F.col("size").desc(), "community")) - 1).cast("bigint"))
+    return numbered(sizes, [F.col("size").desc(), F.col("community")], "community_id")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in the order, from 0: sorted by ranges, counted range by range, so no task holds all."""
+    low = (1 << 33) - 1
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id())
+    placed = stored(ranged, "numbered").withColumn("range__", F.shiftright("at__", 33))
+    counts = placed.groupBy("range__").agg(F.count("*").alias("n__"))  # one row a range
+    before = F.coalesce(F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("range__", before.alias("start__")))
+    out = placed.join(starts, "range__").withColumn(name, (F.col("start__") + F.col("at__").bitwiseAND(F.lit(low))).cast("bigint"))
+    return out.select(*df.columns, name)
 
 
 def entities_in(queries: DataFrame, nodes: DataFrame, least: int = 5) -> DataFrame:

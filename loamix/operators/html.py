@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -133,6 +134,20 @@ def running_lines(pages: DataFrame, doc: str, page_no: str, text: str, zone: int
         return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in line.lower()).split())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        letters: dict[str, Counter] = {}
+        told: dict[tuple[str, str], bool] = {}
+
+        def alike(a: str, b: str) -> bool:
+            """Whether the ratio reaches the likeness; told without it where lengths or letters can't."""
+            if (a, b) not in told:
+                need = likeness * (len(a) + len(b)) / 2
+                for x in (a, b):
+                    if x not in letters:
+                        letters[x] = Counter(x)
+                can = b and min(len(a), len(b)) >= need and (letters[a] & letters[b]).total() >= need
+                told[a, b] = bool(can) and (a == b or gestalt_ratio(a, b) >= likeness)
+            return told[a, b]
+
         pdf = pdf.sort_values(page_no)
         split = [t.split("\n") for t in pdf[text]]
         if len(split) >= least_pages:
@@ -149,7 +164,7 @@ def running_lines(pages: DataFrame, doc: str, page_no: str, text: str, zone: int
                     if not keys[i][j] or keys[i][j].removeprefix("page ").replace(" of ", " ").replace(" ", "").isdigit():
                         drop.add(j)
                         continue
-                    hits = 1 + sum(any(k and gestalt_ratio(keys[i][j], k) >= likeness for k in other.values()) for n, other in enumerate(keys) if n != i)
+                    hits = 1 + sum(any(alike(keys[i][j], k) for k in other.values()) for n, other in enumerate(keys) if n != i)
                     if hits >= need:
                         drop.add(j)
                 out.append("\n".join(x for j, x in enumerate(lines) if j not in drop))

@@ -28,6 +28,18 @@ def column(fn: Callable, kind: str) -> Callable[..., Column]:
     return apply
 
 
+def batched(fn: Callable, kind: str) -> Callable[..., Column]:
+    """A pandas UDF that gives fn each distinct tuple of values of a batch once, as a model call would cost much more than a look-up."""
+
+    @F.pandas_udf(kind)
+    def apply(*columns: pd.Series) -> pd.Series:
+        rows = list(zip(*columns))
+        known = {row: fn(*row) for row in dict.fromkeys(rows)}
+        return pd.Series([known[row] for row in rows])
+
+    return apply
+
+
 def embed(text: str | None, size: int = 64) -> list[float]:
     """Hashed word counts of length one."""
     out = [0.0] * size

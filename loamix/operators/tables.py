@@ -63,3 +63,40 @@ def regions(rows: DataFrame, page: str = "page_id", least: int = 4) -> DataFrame
     w = Window.partitionBy(page).orderBy("row_no")
     island = F.col("row_no") - F.row_number().over(w)
     return rows.filter("tabular").withColumn("island", island).groupBy(page, "island").agg(F.min("row_no").alias("first_row"), F.count("*").alias("n_rows")).filter(F.col("n_rows") >= least).drop("island")
+
+
+def column_bands(cells: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, band, lo, hi: columns from the gap clusters of left edges; each reaches to the next, the last to the right end of all."""
+    sure = cells.filter(F.col("conf") >= LEAST_CONFIDENCE)
+    frame = sure.groupBy(page).agg(F.median("h").alias("mid_h"), (F.max("x1") + 1.0).alias("end"))
+    grid = gap_clusters(sure.join(frame, page), [page], F.col("x0"), F.col("mid_h") * COLUMN_GAP, "band")
+    lefts = grid.groupBy(page, "band").agg(F.avg("x0").alias("lo"), F.first("end").alias("end"))
+    right = F.coalesce(F.lead("lo").over(Window.partitionBy(page).orderBy("band")), F.col("end"))
+    return lefts.select(page, "band", "lo", F.greatest(right, F.col("lo") + 1.0).alias("hi"))
+
+
+def by_overlap(cells: DataFrame, bands: DataFrame, page: str = "page_id") -> DataFrame:
+    """cells with the band that each overlaps most, the first of equal ones. A page has few bands, so they travel as one array."""
+    listed = bands.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("band", "lo", "hi"))).alias("bands"))
+    over = lambda b: F.least(F.col("x1"), b["hi"]) - F.greatest(F.col("x0"), b["lo"])
+    best = F.array_max(F.transform("bands", lambda b: F.struct(F.greatest(over(b), F.lit(-1.0)).alias("o"), (-b["band"]).alias("b"))))
+    return cells.join(listed, page).withColumn("band", -best["b"]).drop("bands")
+
+
+def nearest_row(cells: DataFrame, page: str = "page_id") -> DataFrame:
+    """cells with the row whose mean centre is nearest; rows are the gap clusters of the centres, ties go up."""
+    sure = cells.filter(F.col("conf") >= LEAST_CONFIDENCE)
+    height = sure.groupBy(page).agg(F.median("h").alias("mid_h"))
+    rows = gap_clusters(sure.join(height, page), [page], F.col("y") + F.col("h") / 2, F.col("mid_h") * ROW_GAP, "row_no")
+    centres = rows.groupBy(page, "row_no").agg(F.avg(F.col("y") + F.col("h") / 2).alias("v__"))
+    # cells and centres in one order: the nearest centre is the last before or the first behind
+    both = cells.withColumn("v__", F.col("y") + F.col("h") / 2).withColumn("own__", F.lit(None).cast("bigint"))
+    names = [c for c in cells.columns if c != page]
+    marks = centres.select(page, *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in names], "v__", F.col("row_no").alias("own__"))
+    order = Window.partitionBy(page).orderBy("v__")
+    mark = F.when(F.col("own__").isNotNull(), F.struct("v__", "own__"))
+    placed = both.select(page, *names, "v__", "own__").unionByName(marks)
+    placed = placed.withColumn("before", F.last(mark, ignorenulls=True).over(order)).withColumn("behind", F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    up, down = F.col("v__") - F.col("before.v__"), F.col("behind.v__") - F.col("v__")
+    row = F.when(F.col("behind").isNull() | (up <= down), F.col("before.own__")).otherwise(F.col("behind.own__"))
+    return placed.filter(F.col("own__").isNull()).withColumn("row_no", row).select(*cells.columns, "row_no")

@@ -65,19 +65,21 @@ def q_redundant_props(spark, sf_dir):
 
 def with_figures(spark, sf_dir):
     """Document lines with figures put in by rule, as the tables hold none."""
-    lines = O.page_lines(table(spark, sf_dir, "documents")).select("doc_id", (F.col("pos") * 2).alias("pos"), "line")
-    on = (F.col("doc_id") + F.col("pos")) % 3 == 0
+    lines = O.page_lines(table(spark, sf_dir, "documents")).select("doc_id", (F.col("pos") * 3).alias("pos"), "line")
+    on = (F.col("doc_id") + F.col("pos") / 3) % 3 == 0
     extra = lines.filter(on).select("doc_id", (F.col("pos") + 1).alias("pos"), F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "%").otherwise("+")).alias("line"))
-    cut = lines.withColumn("line", F.when(F.col("doc_id") % 5 == 0, F.substring("line", 1, 30)).otherwise(F.col("line")))
-    return cut.unionByName(extra)
+    told = lines.filter(on & (F.col("doc_id") % 5 < 2)).select("doc_id", (F.col("pos") + 2).alias("pos"), F.lit("of all students passed").alias("line"))
+    return lines.unionByName(extra).unionByName(told)
 
 
 FIGURES = """base AS (
-  SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1) * 2 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+  SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1) * 3 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 raw AS (
-  SELECT doc_id, pos, CASE WHEN doc_id % 5 = 0 THEN substr(line, 1, 30) ELSE line END AS line FROM base
+  SELECT doc_id, pos, line FROM base
   UNION ALL
-  SELECT doc_id, pos + 1, doc_id::VARCHAR || CASE WHEN doc_id % 2 = 0 THEN '%' ELSE '+' END FROM base WHERE (doc_id + pos) % 3 = 0),
+  SELECT doc_id, pos + 1, doc_id::VARCHAR || CASE WHEN doc_id % 2 = 0 THEN '%' ELSE '+' END FROM base WHERE (doc_id + pos // 3) % 3 = 0
+  UNION ALL
+  SELECT doc_id, pos + 2, 'of all students passed' FROM base WHERE (doc_id + pos // 3) % 3 = 0 AND doc_id % 5 < 2),
 figures AS (SELECT doc_id, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM raw)"""
 
 
@@ -92,7 +94,7 @@ def q_figure_columns(spark, sf_dir):
 
 def q_scoped_line_dedup(spark, sf_dir):
     lines = O.page_lines(table(spark, sf_dir, "documents"))
-    rows = lines.withColumn("line", F.when(F.col("pos") % 3 == 2, F.concat(F.lit("| "), F.substring("line", 1, 3))).otherwise(F.substring("line", 1, 6)))
+    rows = lines.withColumn("line", F.when(F.col("pos") % 3 == 2, F.concat(F.lit("| "), F.col("line"))).otherwise(F.col("line")))
     rows = rows.withColumn("key", T.normalised(F.col("line")))
     return O.scoped_line_dedup(rows).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
@@ -100,7 +102,7 @@ def q_scoped_line_dedup(spark, sf_dir):
 def q_dead_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     marked = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Oops! "), F.col("text"))).when(
-        F.col("doc_id") % 11 == 0, F.concat(F.substring("text", 1, 400), F.lit(" page not found"))
+        F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" page not found"))
     ).otherwise(F.col("text"))
     return docs.select("doc_id", T.looks_dead(marked).alias("dead"))
 
@@ -173,7 +175,7 @@ SQL = {
             WHEN f AND (nf OR pf) THEN line || ' (no caption)' ELSE line END) AS line_md5
         FROM told WHERE NOT (pf AND NOT f AND length(line) <= 60 AND regexp_matches(line, '[A-Za-z]'))""",
     "q_scoped_line_dedup": f"""WITH cut AS (
-          SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN '| ' || substr(line, 1, 3) ELSE substr(line, 1, 6) END AS line FROM (
+          SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN '| ' || line ELSE line END AS line FROM (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
         keyed AS (SELECT *, {NORM.format('line')} AS key, starts_with(trim(line), '|') AS is_row FROM cut),
         solid AS (SELECT * FROM keyed WHERE key <> ''),
@@ -182,7 +184,7 @@ SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scope, key, is_row ORDER BY pos) AS r FROM scoped)
         SELECT doc_id, pos::BIGINT AS pos, line FROM ranked WHERE r = 1 OR regexp_matches(key, '^[\\d,]+\\s*[%+]?$')""",
     "q_dead_pages": r"""SELECT doc_id, regexp_matches(substr(CASE WHEN doc_id % 7 = 0 THEN 'Oops! ' || text
-          WHEN doc_id % 11 = 0 THEN substr(text, 1, 400) || ' page not found' ELSE text END, 1, 300),
+          WHEN doc_id % 11 = 0 THEN text || ' page not found' ELSE text END, 1, 300),
           '(?i)(something went wrong|couldn''?t find your page|page not found|\b404\b|back to home|oops)') AS dead FROM documents""",
     "q_removed_lines": f"WITH {LINES}, {_FURN} SELECT doc_id, count(*) AS n_removed, min(key) AS first_key FROM keyed WHERE key IN (SELECT key FROM furn) GROUP BY doc_id",
     "q_contact_facts": f"""WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, md5(line) AS line_md5 FROM keyed

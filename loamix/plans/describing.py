@@ -86,7 +86,7 @@ def q_gazette(spark, sf_dir):
 
 
 def q_toc_headings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    docs = table(spark, sf_dir, "documents")
     text = F.concat(F.lit("Contents ...... 3\n| a ....... 4\nCHAPTER I\n1.2 Scope of rules\n2 Not this,\n"), F.col("text"))
     done = T.headings_marked(T.toc_lines_stripped(text), F.lit("Rules"))
     return docs.select("doc_id", F.md5(done.cast("binary")).alias("text_md5"))
@@ -165,7 +165,7 @@ SQL = {
         SELECT doc_id, regexp_matches(substr(text, 1, 600), '\.{{4,}}') AND regexp_matches(array_to_string(string_split(text, chr(10))[1:80], chr(10)), '(?i)\b\d+(?:st|nd|rd|th)\s+sem')
           AND len(w) >= 60 AND {_SHARE} < 12 AS rejected FROM w""",
     "q_toc_headings": r"""WITH t AS (SELECT doc_id, 'Contents ...... 3' || chr(10) || '| a ....... 4' || chr(10) || 'CHAPTER I' || chr(10) || '1.2 Scope of rules' || chr(10) || '2 Not this,' || chr(10) || text AS text
-                   FROM documents WHERE doc_id % 2 = 0),
+                   FROM documents),
         l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT (regexp_matches(x, '\.{4,}\s*\d*\s*$') AND NOT contains(x, '|'))), lambda x: trim(x)) AS ls FROM t)
         SELECT doc_id, md5(array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^(?:(?:PART|CHAPTER)\b.*|\d+(?:\.\d+)*[.)]?\s+[A-Z].*)$')
           AND length(x) <= 90 AND NOT regexp_matches(x, '[,;]$') THEN '## Rules — ' || x ELSE x END), chr(10))) AS text_md5 FROM l""",

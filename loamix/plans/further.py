@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamix.functions import text as T
 from loamix.functions import urls as U
+from loamix.operators import agents as A
 from loamix.operators import dialogue as D
 from loamix.operators import html as H
 from loamix.operators import retrieval as R
@@ -24,8 +25,8 @@ def q_html_text(spark, sf_dir):
 
 
 def q_running_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0")
-    text = F.concat(F.lit("University of Example\n"), F.substring("text", 1, 300), F.lit("\nPage "), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("University of Example\n"), F.col("text"), F.lit("\nPage "), F.col("doc_id").cast("string"))
     pages = docs.select((F.col("doc_id") % 40).alias("pdf"), F.col("doc_id").alias("page_no"), text.alias("text"))
     out = running_lines(pages, "pdf", "page_no", "text")
     return out.select("pdf", "page_no", F.contains("text", F.lit("University of Example")).alias("has_header"), F.length("text").alias("n_chars"))
@@ -54,10 +55,7 @@ def q_page_directory(spark, sf_dir):
 def q_query_expansion(spark, sf_dir):
     """The longest key that a passage contains gives further terms."""
     keys = spark.createDataFrame(EXPANSIONS, "key string, terms string")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = asked.join(F.broadcast(keys), F.contains(F.lower("text"), F.col("key")))
-    best = hits.groupBy("query_id").agg(F.max(F.struct(F.length("key").alias("l"), "key", "terms")).alias("b"))
-    return asked.join(best, "query_id", "left").select("query_id", F.col("b.key").alias("key"), F.coalesce("b.terms", F.lit("")).alias("added"))
+    return A.expanded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), keys)
 
 
 def q_content_words(spark, sf_dir):
@@ -67,31 +65,37 @@ def q_content_words(spark, sf_dir):
 
 
 def q_sub_questions(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("what is "), F.substring("text", 1, 40), F.lit(", and who; where & why")).alias("text"))
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("what is "), F.col("text"), F.lit(", and who is the registrar; where & why")).alias("text"))
     parts = asked.select("conv_id", "turn", F.posexplode(D.sub_questions(F.col("text"))).alias("part", "question"))
     return parts.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"), "question")
 
 
 def q_phrase_recovery(spark, sf_dir):
     """Documents that hold a phrase in either casing, shortest first."""
-    docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("the the")) | F.contains("text", F.lit("The the")))
-    return docs.select(F.lit(1).alias("query_id"), "doc_id", F.length("text").cast("bigint").alias("n")).orderBy("n", "doc_id").limit(12)
+    return A.with_phrase(table(spark, sf_dir, "documents"), "the the")
+
+
+ROLES = ("Dr. A Khan is the Registrar", "The Registrar met Mr. B Ali", "The Registrar's office", "Mrs. C serves as our Deputy Registrar", "Registry")
 
 
 def q_role_tiers(spark, sf_dir):
-    """Lines that assert a role, name it, or only stand beside it; the best tier first."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    low = F.lower("line")
-    tier = F.when(low.rlike(r"^the\b.*\bis the\b"), 0).when(F.contains(low, F.lit("is the")), 1).when(F.contains(low, F.lit("the the")), 2)
-    rows = lines.withColumn("tier", tier).filter("tier is not null")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("tier", "pos"))
-    return rows.withColumn("rank", rank).filter("rank <= 6").select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("tier").cast("bigint").alias("tier"), F.col("rank").cast("bigint").alias("rank"))
+    """Lines that say who holds a post, name a person beside it, or only name it; the best tier first."""
+    told = F.get(F.array(*[F.lit(r) for r in ROLES]), (F.col("doc_id") % len(ROLES)).cast("int"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat("text", F.lit("\n"), told), "\n")).alias("line"))
+    docs = lines.groupBy("doc_id").agg(F.min(A.role_tier(F.col("line"), "Registrar")).alias("tier"))
+    return docs.filter("tier is not null").select("doc_id", F.col("tier").cast("bigint").alias("tier"))
+
+
+def q_role_holders(spark, sf_dir):
+    told = F.get(F.array(*[F.lit(r) for r in ROLES]), (F.col("doc_id") % len(ROLES)).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(told, F.lit(". "), "text").alias("text"))
+    return A.role_holders(docs, ["Registrar", "Registry"]).select("doc_id", F.col("tier").cast("bigint").alias("tier"), "rank")
 
 
 def q_source_lookup(spark, sf_dir):
     """Rows of an address with or without a slash at its end: the form that has rows, the plain one first."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("url"), F.when(F.col("page_id") % 2 == 0, "/").otherwise("")).alias("source"))
-    asked = table(spark, sf_dir, "pages").filter("page_id % 3 = 0").select(F.col("page_id").alias("query_id"), F.col("url").alias("wanted"))
+    asked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("wanted"))
     hits = pages.join(asked, F.regexp_replace("source", "/+$", "") == F.regexp_replace("wanted", "/+$", ""))
     slashed = F.endswith("source", F.lit("/"))
     first = F.min(slashed).over(Window.partitionBy("query_id"))
@@ -113,14 +117,6 @@ def q_sitemap(spark, sf_dir):
     return readers.sitemap_urls(xml).groupBy("kind").agg(F.count("*").alias("n"), F.min("address").alias("first_address"))
 
 
-def q_counts_in_text(spark, sf_dir):
-    """Figures with a noun: '18 Programs' and 'Programs (18)'."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("We have "), (F.col("doc_id") % 50).cast("string"), F.lit(" programs and Faculty ("), (F.col("doc_id") % 7).cast("string"), F.lit(") in all. "), F.col("text")).alias("t"))
-    front = F.get(F.regexp_extract_all("t", F.lit(r"(\d+) programs"), F.lit(1)), F.lit(0))
-    back = F.get(F.regexp_extract_all("t", F.lit(r"Faculty \((\d+)\)"), F.lit(1)), F.lit(0))
-    return docs.select("doc_id", front.cast("int").alias("programs"), back.cast("int").alias("faculty"))
-
-
 def q_first_per_source(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.count("*").alias("n"), F.median("n_chars").alias("mid_chars"))
@@ -132,6 +128,7 @@ def q_content_keys(spark, sf_dir):
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+_ROLE = "list_extract([" + ", ".join("'" + r.replace("'", "''") + "'" for r in ROLES) + f"], (doc_id % {len(ROLES)} + 1)::BIGINT)"
 _SECTION = "coalesce(list_filter(string_split('/' || regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[#?].*$', ''), '^(?:https?:)?//[^/]*', ''), '^/+|/+$', '', 'g'), '/'), lambda s: s <> '')[1], '(home)')"
 
 SQL = {
@@ -148,13 +145,23 @@ SQL = {
     "q_content_words": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains({_STOPS}, x)) AS w FROM documents),
         f AS (SELECT doc_id, w, list_filter(w, lambda x, i: list_position(w, x) = i) AS d FROM w)
         SELECT doc_id, len(d)::BIGINT AS n_words, array_to_string(d[1:3], ' ') AS first FROM f""",
-    "q_sub_questions": r"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array('what is ' || substr(text, 1, 40) || ', and who; where & why', '(?i)\s*(?:,\s*and\b|,|\band\b|;|&)\s*'), lambda x: trim(x)), lambda x: x <> '') AS p
-          FROM conversations WHERE role = 'user') SELECT conv_id, turn, (generate_subscripts(p, 1) - 1)::BIGINT AS part, unnest(p) AS question FROM p""",
-    "q_phrase_recovery": "SELECT 1 AS query_id, doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, 'the the') OR contains(text, 'The the') ORDER BY n, doc_id LIMIT 12",
-    "q_role_tiers": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-        t AS (SELECT doc_id, pos::BIGINT AS pos, CASE WHEN regexp_matches(lower(line), '^the\b.*\bis the\b') THEN 0 WHEN contains(lower(line), 'is the') THEN 1 WHEN contains(lower(line), 'the the') THEN 2 END::BIGINT AS tier FROM l)
-        SELECT doc_id, pos, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, pos) AS rank FROM t WHERE tier IS NOT NULL) WHERE rank <= 6""",
-    "q_source_lookup": r"""WITH p AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '' END AS source FROM pages), a AS (SELECT page_id AS query_id, url AS wanted FROM pages WHERE page_id % 3 = 0),
+    "q_sub_questions": rf"""WITH a AS (SELECT conv_id, turn, 'what is ' || text || ', and who is the registrar; where & why' AS t FROM conversations WHERE role = 'user'),
+        p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(t, '{D.INTENT_CUT}'), lambda x: regexp_replace(x, '^[ ?.,]+|[ ?.,]+$', '', 'g')), lambda x: x <> '') AS p FROM a),
+        r AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM p),
+        q AS (SELECT *, nullif(regexp_extract(part, '{D.QUESTION}', 1), '') AS own FROM r),
+        l AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i), 'what is') AS led FROM q),
+        e AS (SELECT conv_id, turn, i, CASE WHEN own IS NULL THEN led || ' ' || part ELSE part END AS question FROM l),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS part, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM e
+              WHERE len(list_filter(regexp_extract_all(lower(question), '[a-z0-9'']+'), lambda w: length(w) > 1 AND NOT list_contains({list(D.INTENT_STOP)!r}, w))) >= 1)
+        SELECT conv_id, turn, part, question FROM k WHERE n > 1""",
+    "q_phrase_recovery": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, 'the the') OR contains(text, 'The the') ORDER BY n, doc_id LIMIT 12",
+    "q_role_tiers": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || {_ROLE}, chr(10))) AS line FROM documents)
+        SELECT doc_id, min(CASE WHEN regexp_matches(regexp_extract(line, '(?s)({A.PERSON}.*)$', 1), '{A.ASSERTS}[^.]{{0,40}}Registrar') THEN 0 WHEN regexp_matches(line, '{A.PERSON}') THEN 1 ELSE 2 END)::BIGINT AS tier
+        FROM l WHERE contains(line, 'Registrar') GROUP BY doc_id""",
+    "q_role_holders": rf"""WITH d AS (SELECT doc_id, {_ROLE} || '. ' || text AS t FROM documents),
+        h AS (SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(t, '(?s)({A.PERSON}.*)$', 1), '{A.ASSERTS}[^.]{{0,40}}Registrar') THEN 0 WHEN regexp_matches(t, '{A.PERSON}') THEN 1 ELSE 2 END::BIGINT AS tier FROM d WHERE contains(t, 'Registrar'))
+        SELECT * FROM (SELECT doc_id, tier, row_number() OVER (ORDER BY tier, doc_id) AS rank FROM h) WHERE rank <= 6""",
+    "q_source_lookup": r"""WITH p AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '' END AS source FROM pages), a AS (SELECT page_id AS query_id, url AS wanted FROM pages),
         h AS (SELECT query_id, page_id, ends_with(source, '/') AS slashed FROM p JOIN a ON regexp_replace(source, '/+$', '') = regexp_replace(wanted, '/+$', ''))
         SELECT query_id, page_id, slashed FROM (SELECT *, min(slashed) OVER (PARTITION BY query_id) AS f FROM h) WHERE slashed = f""",
     "q_mentions": r"""WITH l AS (SELECT unnest(string_split(text || chr(10) || 'see https://a.org/x, b@c.org or d.edu. ' || source, chr(10))) AS line FROM documents),
@@ -162,7 +169,6 @@ SQL = {
         SELECT CASE WHEN contains(m, '@') THEN 'mail' WHEN starts_with(m, 'http') THEN 'link' ELSE 'domain' END AS kind, count(*) AS n, count(DISTINCT m) AS n_distinct FROM m GROUP BY ALL""",
     "q_sitemap": """WITH p AS (SELECT page_id % 9 AS part, replace(url, '&', '&amp;') AS u FROM pages)
         SELECT CASE WHEN part = 0 THEN 'index' ELSE 'page' END AS kind, count(*) AS n, min(u) AS first_address FROM (SELECT DISTINCT part, u FROM p) GROUP BY 1""",
-    "q_counts_in_text": "SELECT doc_id, (doc_id % 50)::INT AS programs, (doc_id % 7)::INT AS faculty FROM documents",
     "q_first_per_source": "SELECT source, first(doc_id ORDER BY n_chars, doc_id) AS doc_id, count(*) AS n, median(n_chars) AS mid_chars FROM documents GROUP BY source",
     "q_content_keys": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
         k AS (SELECT doc_id, i, trim(regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '^[#•|\s]+', '')) AS k FROM l),

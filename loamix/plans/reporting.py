@@ -13,7 +13,7 @@ from loamix.plans.serving import EXTRACT, extractions
 
 
 def q_reply_parse(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r'["\\\n]', " ").alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r'["\\\n]', " ").alias("t"))
     i = F.col("doc_id") % 3
     reply = F.when(i == 0, F.concat(F.lit('```json\n{"intent": "fees", "answer": "'), "t", F.lit('"}\n```'))).when(i == 1, F.concat(F.lit('{"intent":"policy","answer":"'), "t", F.lit('"}'))).otherwise(F.concat(F.lit("INTENT: campus\nANSWER: "), "t"))
     s = P.tagged_reply(reply)
@@ -53,7 +53,7 @@ def q_order_unscored(spark, sf_dir):
 
 def q_graded(spark, sf_dir):
     """Whether each found document is kept by the grader; those without a grade stay."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     rows = bm25_rows(spark, sf_dir, 5).join(docs, "doc_id").join(asked, "query_id")
     grade = scorers.column(scorers.grade, "string")(F.col("query"), F.col("text"))
@@ -63,13 +63,13 @@ def q_graded(spark, sf_dir):
 def q_propositions(spark, sf_dir):
     from loamix.operators import chunking
 
-    docs = table(spark, sf_dir, "documents").select(F.sha1(F.col("text").cast("binary")).alias("parent_id"), F.substring("text", 1, 2000).alias("content")).distinct()
+    docs = table(spark, sf_dir, "documents").select(F.sha1(F.col("text").cast("binary")).alias("parent_id"), F.col("text").alias("content")).distinct()
     out = chunking.propositions(docs.filter("length(content) >= 30"), scorers.column(scorers.statements, "string")(F.col("content")))
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("parent_id").alias("n_parents"))
 
 
 SQL = {
-    "q_reply_parse": r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fees' WHEN 1 THEN 'policy' ELSE 'campus' END AS intent, trim(regexp_replace(substr(text, 1, 40), '["\\\n]', ' ', 'g')) AS answer FROM documents""",
+    "q_reply_parse": r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fees' WHEN 1 THEN 'policy' ELSE 'campus' END AS intent, trim(regexp_replace(text, '["\\\n]', ' ', 'g')) AS answer FROM documents""",
     "q_extractor_loss": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
         k AS (SELECT doc_id, pos, {NORM.format('line')} AS key FROM l), a AS (SELECT DISTINCT doc_id, key FROM k WHERE length(key) >= 15), b AS (SELECT DISTINCT doc_id, key FROM k WHERE pos % 3 <> 1)
         SELECT a.doc_id, count(*) AS n_old, count(*) FILTER (WHERE b.key IS NULL) AS n_lost FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.key = b.key GROUP BY a.doc_id""",

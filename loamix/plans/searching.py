@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loamix.operators import retrieval as R
 from loamix.plans import table
+from loamix.sources import scratch
 
 STOP = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "les", "des", "que", "der", "die", "und", "los", "las"]
 
 
-def bm25_rows(spark, sf_dir, top=10):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, top)
+_INDEXES: dict = {}
+
+
+def index(spark, sf_dir):
+    """The stored index of the documents, written once a session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        made = R.index_of(table(spark, sf_dir, "documents"), carry=("lang",))
+        _INDEXES[at] = made.save(f"{scratch.root(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[at]
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_rows(spark, sf_dir, top=10, within=None):
+    return R.bm25_search(index(spark, sf_dir), questions(spark, sf_dir), top, within)
 
 
 def q_bm25_topk(spark, sf_dir):
@@ -21,7 +39,7 @@ def q_bm25_topk(spark, sf_dir):
 
 def dense_rows(spark, sf_dir, top=10):
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return R.dense(vecs, vecs.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), top)
+    return R.dense(vecs, vecs.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), top)
 
 
 def q_dense_topk(spark, sf_dir):
@@ -31,11 +49,10 @@ def q_dense_topk(spark, sf_dir):
 def q_cache_lookup(spark, sf_dir):
     """Best cached vector of each query, with a hit from the threshold on; entries live for a day."""
     vecs = table(spark, sf_dir, "embeddings")
-    cache = vecs.filter("vec_id >= 25").select(F.col("vec_id").alias("entry"), "embedding", (F.col("vec_id") % 48).alias("age_hours")).filter("age_hours < 24")
-    asked = vecs.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = cache.join(F.broadcast(asked)).select("query_id", "entry", F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("b"))
-    return best.select("query_id", (-F.col("b.e")).alias("entry"), F.col("b.score").alias("score"), (F.col("b.score") >= 0.9).alias("hit"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    cache = vecs.select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"), F.timestamp_add("HOUR", (F.col("vec_id") % 48).cast("int"), start).alias("saved"))
+    asked = vecs.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.cache_lookup(cache, asked, F.timestamp_add("HOUR", F.lit(47), start))
 
 
 def two_lists(spark, sf_dir):
@@ -57,8 +74,7 @@ def q_hybrid_quota(spark, sf_dir):
     """A quota of the best for each category, fused by taking turns over categories."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = bm25_rows(spark, sf_dir, 200).select("query_id", "doc_id", "score").join(docs, "doc_id")
-    quota = R.ranked(rows, [F.col("score").desc(), F.col("doc_id")], 5, ["query_id", "lang"])
-    return R.interleaved(quota.select("query_id", F.col("lang").alias("list_no"), "rank", "doc_id"), "doc_id", 12).select("query_id", "doc_id", F.col("list_no").alias("lang"), "rank")
+    return R.quota_by(rows, "lang", "doc_id", 5, 12)
 
 
 def candidates(spark, sf_dir):
@@ -83,11 +99,11 @@ def q_demote(spark, sf_dir):
 
 def children(spark, sf_dir):
     """The best documents' lines as children of their documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 900).alias("parent"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("parent"))
     rows = bm25_rows(spark, sf_dir, 6).join(docs, "doc_id")
-    lines = rows.select("query_id", F.col("doc_id").alias("parent_id"), "score", "rank", "parent", F.posexplode(F.slice(F.split("parent", "\n"), 1, 3)).alias("p", "child"))
+    lines = rows.select("query_id", F.col("doc_id").alias("parent_id"), "score", "rank", "parent", F.posexplode(F.split("parent", "\n")).alias("p", "child"))
     child = F.when((F.col("p") == 1) & (F.col("parent_id") % 2 == 0), F.concat("child", F.lit(" Mail a@b.org now"))).otherwise(F.col("child"))
-    return lines.select("query_id", (F.col("rank") * 10 + F.col("p")).alias("ord"), (F.col("score") - F.col("p") * 0.5).alias("score"), child.alias("child"), "parent_id", "parent").filter("child <> ''")
+    return lines.select("query_id", (F.col("rank") * 100000 + F.col("p")).alias("ord"), (F.col("score") - F.col("p") * 0.5).alias("score"), child.alias("child"), "parent_id", "parent").filter("child <> ''")
 
 
 def q_parent_swap(spark, sf_dir):
@@ -96,7 +112,7 @@ def q_parent_swap(spark, sf_dir):
 
 
 def q_context_string(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 200).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = bm25_rows(spark, sf_dir, 5).join(docs, "doc_id")
     return R.context(rows, "source", "text").select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
@@ -147,10 +163,10 @@ _DETAIL = R.DETAIL
 
 SQL = {
     "q_bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM best WHERE rank <= 10",
-    "q_dense_topk": f"""WITH {COS}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM vecs a, vecs b WHERE a.vec_id < 50 AND a.vec_id <> b.vec_id)
+    "q_dense_topk": f"""WITH {COS}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM vecs a, vecs b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10""",
     "q_cache_lookup": f"""WITH {COS}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS entry, round(list_cosine_similarity(a.e, b.e), 6) AS score
-          FROM vecs a, vecs b WHERE a.vec_id < 50 AND b.vec_id >= 25 AND b.vec_id % 48 < 24)
+          FROM vecs a, vecs b WHERE a.vec_id % 20 = 0 AND b.vec_id % 48 > 23)
         SELECT query_id, entry, score, score >= 0.9 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) AS r FROM p) WHERE r = 1""",
     "q_rrf": f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank - 1)), 9) AS score FROM lists GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
@@ -174,9 +190,9 @@ SQL = {
     "q_demote": f"""WITH {BM25}, f AS (SELECT query_id, doc_id, rank, doc_id % 3 = 0 AS f FROM best WHERE rank <= 10),
         l AS (SELECT *, f AND max(f::INT) OVER (PARTITION BY query_id) <> min(f::INT) OVER (PARTITION BY query_id) AS late FROM f)
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS new_rank FROM l""",
-    "q_parent_swap": rf"""WITH {BM25}, d AS (SELECT query_id, doc_id AS parent_id, score, rank, substr(text, 1, 900) AS parent FROM best JOIN documents USING (doc_id) WHERE rank <= 6),
-        l AS (SELECT query_id, parent_id, score, rank, parent, unnest(string_split(parent, chr(10))[1:3]) AS c, generate_subscripts(string_split(parent, chr(10))[1:3], 1) - 1 AS p FROM d),
-        ch AS (SELECT query_id, rank * 10 + p AS ord, score - p * 0.5 AS score, CASE WHEN p = 1 AND parent_id % 2 = 0 THEN c || ' Mail a@b.org now' ELSE c END AS child, parent_id, parent FROM l),
+    "q_parent_swap": rf"""WITH {BM25}, d AS (SELECT query_id, doc_id AS parent_id, score, rank, text AS parent FROM best JOIN documents USING (doc_id) WHERE rank <= 6),
+        l AS (SELECT query_id, parent_id, score, rank, parent, unnest(string_split(parent, chr(10))) AS c, generate_subscripts(string_split(parent, chr(10)), 1) - 1 AS p FROM d),
+        ch AS (SELECT query_id, rank * 100000 + p AS ord, score - p * 0.5 AS score, CASE WHEN p = 1 AND parent_id % 2 = 0 THEN c || ' Mail a@b.org now' ELSE c END AS child, parent_id, parent FROM l),
         w AS (SELECT *, {_WORDS.format('child')} AS cw, {_WORDS.format('parent')} AS pw,
                 regexp_matches(child, '{_DETAIL}') AND NOT contains(parent, regexp_extract(child, '{_DETAIL}')) AS adds FROM ch WHERE child <> ''),
         u AS (SELECT *, length(parent) > 1.2 * length(child) AND (NOT adds OR length(parent) >= 200)
@@ -186,7 +202,7 @@ SQL = {
               UNION ALL SELECT query_id, any_value(parent), max(score - CASE WHEN adds THEN 0.01 ELSE 0 END), min(acc), 'parent' FROM a WHERE acc IS NOT NULL AND ord >= acc GROUP BY query_id, parent_id)
         SELECT query_id, ord::BIGINT AS ord, kind, round(score, 6) AS score, md5(text) AS text_md5
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY ord, kind) AS copy FROM x) WHERE copy = 1""",
-    "q_context_string": f"""WITH {BM25} SELECT query_id, md5(string_agg('[Source ' || rank::VARCHAR || ': ' || source || ']' || chr(10) || substr(text, 1, 200), chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5
+    "q_context_string": f"""WITH {BM25} SELECT query_id, md5(string_agg('[Source ' || rank::VARCHAR || ': ' || source || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5
         FROM best JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""",
     "q_source_caps": f"""WITH {BM25}, c AS (SELECT query_id, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM best JOIN documents USING (doc_id) WHERE rank <= 50)
         SELECT query_id, source, doc_id, r AS rank FROM c WHERE r <= 3""",

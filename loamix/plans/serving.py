@@ -19,7 +19,7 @@ from loamix.plans import LINES, table
 
 def headed_lines(spark, sf_dir):
     lines = O.page_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", "line")
-    return lines.withColumn("line", F.when((F.col("pos") + F.col("doc_id")) % 6 == 2, F.concat(F.lit("## "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    return lines.withColumn("line", F.when((F.col("pos") + F.col("doc_id")) % 6 == 2, F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")))
 
 
 def q_chunk_sections(spark, sf_dir):
@@ -52,7 +52,7 @@ def extractions(spark, sf_dir):
     word = lambda c: F.regexp_replace(c, "[^\\p{L}]", "")
     rows = lines.select(
         word(F.substring_index("line", " ", 1)).alias("src"), word(F.substring_index("line", " ", -1)).alias("dst"),
-        F.concat(F.lit("r"), (F.col("pos") % 3).cast("string")).alias("relation"), (F.col("doc_id") * 200000 + F.col("pos")).alias("o"), F.substring("line", 1, 40).alias("description"),
+        F.concat(F.lit("r"), (F.col("pos") % 3).cast("string")).alias("relation"), (F.col("doc_id") * 200000 + F.col("pos")).alias("o"), F.col("line").alias("description"),
         (F.col("doc_id") % 4).cast("string").alias("type"),
     )
     entities = rows.filter("o % 2 = 0").select(F.col("src").alias("name"), F.concat(F.lit("t"), "type").alias("type"), "description", (F.col("o") * 2).alias("at"))
@@ -60,7 +60,7 @@ def extractions(spark, sf_dir):
 
 
 EXTRACT = r"""rows AS (SELECT regexp_replace(string_split(line, ' ')[1], '[^\p{L}]', '', 'g') AS src, regexp_replace(string_split(line, ' ')[-1], '[^\p{L}]', '', 'g') AS dst,
-    'r' || (pos % 3)::VARCHAR AS relation, doc_id * 200000 + pos AS o, substr(line, 1, 40) AS description, 't' || (doc_id % 4)::VARCHAR AS type
+    'r' || (pos % 3)::VARCHAR AS relation, doc_id * 200000 + pos AS o, line AS description, 't' || (doc_id % 4)::VARCHAR AS type
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE line <> ''),
 rels AS (SELECT src, dst, relation, o * 2 + 1 AS at_ FROM rows WHERE src <> '' AND dst <> ''),
 named AS (SELECT src AS name, type, description, o * 2 AS at_ FROM rows WHERE o % 2 = 0 AND src <> '' UNION ALL SELECT src, 'unknown', '', at_ FROM rels UNION ALL SELECT dst, 'unknown', '', at_ FROM rels),
@@ -79,15 +79,16 @@ def q_graph_edges(spark, sf_dir):
 def line_edges(spark, sf_dir):
     """Documents tied to the lines that they share with others."""
     keys = O.page_keys(table(spark, sf_dir, "documents"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df between 2 and 12 and length(key) > 30")
+    shared = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df >= 2 and length(key) > 30")
     rows = keys.join(shared, "key", "left_semi")
     return rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("k"), F.md5(F.col("key").cast("binary"))).alias("dst"))
 
 
-LINE_EDGES = f"""{LINES}, links AS (SELECT DISTINCT 'd' || doc_id::VARCHAR AS a, 'k' || md5(key) AS b FROM keyed WHERE key IN (SELECT key FROM freq WHERE df BETWEEN 2 AND 12 AND length(key) > 30)),
+LINE_EDGES = f"""{LINES}, links AS (SELECT DISTINCT 'd' || doc_id::VARCHAR AS a, 'k' || md5(key) AS b FROM keyed WHERE key IN (SELECT key FROM freq WHERE df >= 2 AND length(key) > 30)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT a AS n, a AS r FROM ways UNION SELECT reach.n, ways.b FROM reach JOIN ways ON reach.r = ways.a),
-comps AS (SELECT n AS node, min(r) AS component FROM reach GROUP BY n)"""
+reach(n, r) USING KEY (n) AS (SELECT DISTINCT a, a FROM ways UNION
+  SELECT ways.b, min(reach.r) FROM reach JOIN ways ON reach.n = ways.a JOIN recurring.reach AS now ON now.n = ways.b AND reach.r < now.r GROUP BY ways.b),
+comps AS (SELECT n AS node, r AS component FROM reach)"""
 
 
 def q_components(spark, sf_dir):
@@ -125,7 +126,7 @@ def q_crawl_bfs(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id")
     links = pages.select(F.col("page_id").alias("src"), F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(5)), lambda k: F.col("page_id") * 2 + k)).alias("dst"))
     known = links.join(pages.select(F.col("page_id").alias("dst")), "dst", "left_semi")
-    return G.crawl(known, pages.filter("page_id in (0, 17)").select(F.col("page_id").alias("address")), 3).select("address", F.col("depth").cast("bigint").alias("depth"))
+    return G.crawl(known, pages.filter("page_id % 20 = 0").select(F.col("page_id").alias("address")), 3).select("address", F.col("depth").cast("bigint").alias("depth"))
 
 
 # -- crawl verdicts ---------------------------------------------------------------------------------------------------
@@ -155,8 +156,9 @@ def q_link_verdict(spark, sf_dir):
 
 def q_old_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    old = pages.filter("page_id % 2 = 0").select(F.concat(F.lit("https://example.org/old/"), F.regexp_replace(F.lower(F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 40)), "[^a-z0-9]+", "-")).alias("old")).distinct()
-    new = pages.filter("page_id % 3 = 0").select(F.concat(F.lit("https://example.org/"), F.regexp_replace(F.lower(F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 30)), "[^a-z0-9]+", "-")).alias("new")).distinct()
+    slug = F.regexp_replace(F.lower(F.regexp_extract("html", "<title>([^<]*)", 1)), "[^a-z0-9]+", "-")
+    old = pages.select(F.concat(F.lit("https://example.org/old/"), slug, F.lit("-html")).alias("old")).distinct()
+    new = pages.select(F.concat(F.lit("https://example.org/"), F.regexp_replace(slug, "-[a-z]*-?$", "")).alias("new")).distinct()
     return W.old_to_new(old, new)
 
 
@@ -166,12 +168,16 @@ ASKED = ("what about ", "who is ", "hi ", "is it ", "how do i report ", "the fee
 
 
 def turns(spark, sf_dir):
+    """Every sentence of every turn as a turn of its own, after the words that rules look for, put in by rule."""
     rows = table(spark, sf_dir, "conversations")
     lead = F.get(F.array(*[F.lit(a) for a in ASKED]), ((F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int"))
-    return rows.select("conv_id", "turn", "role", F.concat(lead, F.substring("text", 1, 50)).alias("text"))
+    said = rows.select("conv_id", "role", lead.alias("lead"), "turn", F.posexplode(F.split("text", "[.] ")).alias("p", "s"))
+    return said.select("conv_id", (F.col("turn") * 100000 + F.col("p")).alias("turn"), "role", F.concat("lead", "s").alias("text"))
 
 
-TURNS = f"""turns AS (SELECT conv_id, turn, role, list_extract({list(ASKED)!r}, ((conv_id + turn) % {len(ASKED)} + 1)::BIGINT) || substr(text, 1, 50) AS text FROM conversations)"""
+TURNS = f"""said AS (SELECT conv_id, turn * 100000 + generate_subscripts(string_split(text, '. '), 1) - 1 AS turn, role,
+    list_extract({list(ASKED)!r}, ((conv_id + turn) % {len(ASKED)} + 1)::BIGINT) AS lead, unnest(string_split(text, '. ')) AS s FROM conversations),
+turns AS (SELECT conv_id, turn, role, lead || s AS text FROM said)"""
 
 
 def q_trim_history(spark, sf_dir):
@@ -236,14 +242,14 @@ def q_upserted(spark, sf_dir):
 
 def cells(spark, sf_dir):
     """Positioned words by rule: rows of a page with gaps, cells at steps."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0")
-    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("p", "text"))
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", " ")).alias("p", "text"))
     row, col = F.floor(F.col("p") / 4), F.col("p") % 4
     return words.select("page_id", (col * 90 + row % 3).cast("double").alias("x0"), (col * 90 + 60).cast("double").alias("x1"), (row * 18 + col % 2).cast("double").alias("y"),
                         F.lit(10.0).alias("h"), "text", (0.1 + F.col("p") % 7 * 0.1).alias("conf"))
 
 
-CELLS = """words AS (SELECT doc_id AS page_id, unnest(string_split(text, ' ')[1:40]) AS text, generate_subscripts(string_split(text, ' ')[1:40], 1) - 1 AS p FROM documents WHERE doc_id % 4 = 0),
+CELLS = """words AS (SELECT doc_id AS page_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM documents),
 cells AS (SELECT page_id, ((p % 4) * 90 + (p // 4) % 3)::DOUBLE AS x0, ((p // 4) * 18 + (p % 4) % 2)::DOUBLE AS y, 10.0::DOUBLE AS h, text, 0.1::DOUBLE + (p % 7) * 0.1::DOUBLE AS conf FROM words),
 sure AS (SELECT *, median(h) OVER (PARTITION BY page_id) AS m FROM cells WHERE conf >= 0.2),
 r1 AS (SELECT *, coalesce((y + h / 2) - lag(y + h / 2) OVER (PARTITION BY page_id ORDER BY y + h / 2) > m * 0.6, false)::INT AS g FROM sure),
@@ -294,7 +300,7 @@ _FAMILY = ", ".join(f"CASE WHEN {_OR(words, 'mail')} THEN '{name}' END" for name
 
 SQL = {
     "q_chunk_sections": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-        h AS (SELECT doc_id, pos, CASE WHEN (pos + doc_id) % 6 = 2 THEN '## ' || substr(line, 1, 20) ELSE line END AS line FROM l),
+        h AS (SELECT doc_id, pos, CASE WHEN (pos + doc_id) % 6 = 2 THEN '## ' || line ELSE line END AS line FROM l),
         m AS (SELECT *, regexp_matches(line, '^#{1,4}\s+') AS h FROM h), s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS section_no FROM m)
         SELECT doc_id, section_no, coalesce(max(regexp_replace(line, '^#{1,4}\s+', '')) FILTER (WHERE h), 'Introduction') AS heading,
           md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h), '')) AS content_md5 FROM s GROUP BY doc_id, section_no""",
@@ -312,7 +318,7 @@ SQL = {
         g AS (SELECT query_id, type AS community, min(o) AS o FROM s JOIN nodes USING (name) GROUP BY query_id, type)
         SELECT query_id, community, nth FROM (SELECT query_id, community, row_number() OVER (PARTITION BY query_id ORDER BY o, community) AS nth FROM g) WHERE nth <= 3""",
     "q_graph_questions": f"WITH {EXTRACT} SELECT item_id AS query_id, count(*) AS n_entities FROM nodes JOIN benchmark ON length(name) >= 5 AND contains(lower(text), lower(name)) GROUP BY item_id HAVING count(*) >= 2",
-    "q_crawl_bfs": """WITH RECURSIVE links AS (SELECT page_id AS src, page_id * 2 + unnest([1, 2, 5]) AS dst FROM pages), b AS (SELECT page_id AS address, 0 AS depth FROM pages WHERE page_id IN (0, 17)
+    "q_crawl_bfs": """WITH RECURSIVE links AS (SELECT page_id AS src, page_id * 2 + unnest([1, 2, 5]) AS dst FROM pages), b AS (SELECT page_id AS address, 0 AS depth FROM pages WHERE page_id % 20 = 0
           UNION SELECT dst, depth + 1 FROM b JOIN links ON src = address WHERE depth < 3 AND dst IN (SELECT page_id FROM pages))
         SELECT address, min(depth)::BIGINT AS depth FROM b GROUP BY address""",
     "q_page_verdict": rf"""WITH p AS (SELECT doc_id AS at_, 'http://www.example.org/p/' || doc_id::VARCHAR AS requested, CASE WHEN doc_id % 13 = 0 THEN 'https://example.org/moved' ELSE 'https://example.org/p/' || doc_id::VARCHAR || '/' END AS final,
@@ -327,8 +333,9 @@ SQL = {
         SELECT CASE WHEN kind <> 'page' AND (status >= 400 OR NOT ok) THEN 'DEAD' WHEN kind <> 'page' THEN CASE WHEN moved THEN 'REDIRECTED' ELSE 'WORKING' END WHEN i % 7 = 0 THEN 'REVIEW'
           WHEN status >= 400 THEN CASE WHEN len < 200 THEN 'DEAD' WHEN moved THEN 'REDIRECTED' ELSE 'REVIEW' END WHEN len < 200 THEN 'REVIEW' WHEN moved THEN 'REDIRECTED' ELSE 'WORKING' END AS verdict, kind, count(*) AS n FROM m GROUP BY ALL""",
     "q_old_links": f"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages),
-        a AS (SELECT DISTINCT 'https://example.org/old/' || regexp_replace(lower(substr(t, 1, 40)), '[^a-z0-9]+', '-', 'g') AS old FROM t WHERE page_id % 2 = 0),
-        b AS (SELECT DISTINCT 'https://example.org/' || regexp_replace(lower(substr(t, 1, 30)), '[^a-z0-9]+', '-', 'g') AS new FROM t WHERE page_id % 3 = 0),
+        g AS (SELECT regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g') AS s FROM t),
+        a AS (SELECT DISTINCT 'https://example.org/old/' || s || '-html' AS old FROM g),
+        b AS (SELECT DISTINCT 'https://example.org/' || regexp_replace(s, '-[a-z]*-?$', '') AS new FROM g),
         wa AS (SELECT old, {_TOPIC.format('old')} AS w FROM a), wb AS (SELECT new, {_TOPIC.format('new')} AS w FROM b),
         s AS (SELECT old, new, round(len(list_intersect(wa.w, wb.w))::DOUBLE / len(list_distinct(list_concat(wa.w, wb.w))), 6) AS overlap FROM wa, wb WHERE list_has_any(wa.w, wb.w)),
         r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY overlap DESC, length(new), new) AS r FROM s WHERE overlap >= 0.5)

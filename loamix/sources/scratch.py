@@ -19,8 +19,11 @@ def private_root() -> str:
 
 
 def root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a private one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or private_root()).rstrip("/")
+    """The checkpoint folder of the session; on a local master, which has no other machine, a private one if none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or private_root()).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,3 +59,26 @@ def load_version(spark: SparkSession, base: str, version: int | None = None) ->
     if not known:
         raise FileNotFoundError(f"no version of {base}")
     return spark.read.parquet(f"{base.rstrip('/')}/v={(version or known[-1]):08d}")
+
+
+GRAPH_TABLES = ("nodes", "edges", "members", "summaries")
+
+
+def save_graph(tables: dict[str, DataFrame], base: str) -> None:
+    """New versions of a graph's tables; it exists when all of them do."""
+    for name in GRAPH_TABLES:
+        save_version(tables[name], f"{base.rstrip('/')}/{name}")
+
+
+def graph_exists(spark: SparkSession, base: str) -> bool:
+    return all(versions(spark, f"{base.rstrip('/')}/{name}") for name in GRAPH_TABLES)
+
+
+def load_graph(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    return {name: load_version(spark, f"{base.rstrip('/')}/{name}") for name in GRAPH_TABLES}
+
+
+def delete_table(spark: SparkSession, base: str) -> None:
+    """Deletes a table with all its versions."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -194,7 +194,8 @@ def judged(
     lost = condemned(docs.select("doc_id", "text"), least_chars, least_docs, batches, fanout)
     whole = docs.select(*columns, F.struct(F.col("text"), hashed_id().alias("doc")).alias("judged_row"))
     lost = lost.withColumnRenamed("doc", "lost_doc")
-    joined = whole.join(lost, F.col("judged_row.doc") == F.col("lost_doc"), "left").drop("lost_doc")
+    # one way at every size: what small tables would save by a broadcast, large ones could not
+    joined = whole.join(lost.hint("merge"), F.col("judged_row.doc") == F.col("lost_doc"), "left").drop("lost_doc")
     joined = joined.select(*columns, F.col("judged_row.text").alias("judged_text"), "lost_hashes")
     kept_schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
 

@@ -35,8 +35,8 @@ SHINGLE = 5
 LEAST_EQUAL = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Heads that a group takes in the first of the later rounds, at most, and by how much that grows each round.
 FIRST_HEADS, MORE_HEADS = 16, 8
-#: Places that the members of one shingle are dealt to.
-SPREAD = 16
+#: Prefix shingles of heads that are sent to the members at a time (40 bytes each), and matches that a task works on together.
+HEAD_KEYS, MATCHES = 500_000, 2_000_000
 #: Places of the rough count of shingles: 8 MB, whatever the input.
 PLACES = 1 << 20
 
@@ -237,14 +237,81 @@ def prefixes(found: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
     return found.mapInArrow(run, "key bigint, rep bigint, n bigint, pos bigint")
 
 
+def near_heads(left: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a head and a member of another component that may meet the threshold, each once.
+
+    Heads go to the members in blocks of at most HEAD_KEYS prefix shingles, so
+    members stay where they are, however many share a shingle. All shingles that
+    two prefixes share are counted together: at the last of them, at places i
+    and j, the sets can't share more than those and min(x - i, y - j) - 1 others.
+    """
+    spark = left.sparkSession
+    own = left.join(heads, "rep", "left_semi").select("rep", "n", "comp", "key", "pos")
+    blocks = max(1, -(-own.count() // HEAD_KEYS))
+    members = left.groupBy("rep", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("p"))  # a prefix each
+    members = members.select("rep", "n", "comp", F.col("p.key").alias("keys"), F.col("p.pos").alias("places"))
+    out = None
+    for block in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == block).toArrow()
+        order = np.argsort(part["key"].to_numpy(), kind="stable")
+        shared = Shared(spark, {c: part[c].to_numpy()[order] for c in ("key", "rep", "n", "comp", "pos")})
+
+        def run(batches, shared=shared):
+            h = shared.get()
+            for batch in batches:
+                keys, places = batch.column("keys"), batch.column("places")
+                sizes = keys.value_lengths().to_numpy()
+                flat, at = keys.flatten().to_numpy(), places.flatten().to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                lo, hi = np.searchsorted(h["key"], flat, "left"), np.searchsorted(h["key"], flat, "right")
+                ends = np.cumsum(hi - lo)
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                i = 0
+                while i < batch.num_rows:  # members whose matches fit into memory together; a member alone has at most HEAD_KEYS
+                    base = ends[starts[i] - 1] if starts[i] else 0
+                    j = i + 1
+                    while j < batch.num_rows and (ends[starts[j + 1] - 1] if starts[j + 1] else 0) - base <= MATCHES:
+                        j += 1
+                    a, b = starts[i], starts[j]
+                    times = (hi - lo)[a:b]
+                    total = int(times.sum())
+                    if total:
+                        spot = np.repeat(np.arange(a, b), times)
+                        match = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + lo[spot]
+                        yield candidates(batch, h, row[spot], match, at[spot])
+                    i = j
+
+        found = members.mapInArrow(run, "a bigint, b bigint")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def candidates(batch: pa.RecordBatch, heads: dict, row: np.ndarray, match: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Pairs of the matched prefix shingles (member's row and place, head's entry) that may meet the threshold."""
+    rep, n, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "comp"))
+    apart = heads["comp"][match] != comp[row]
+    row, match, place = row[apart], match[apart], place[apart]
+    order = np.lexsort((heads["rep"][match], row))
+    row, match, place = row[order], match[order], place[order]
+    head = heads["rep"][match]
+    if not len(row):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["a", "b"])
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (head[1:] != head[:-1])]))
+    shared = np.diff(np.concatenate([first, [len(row)]]))
+    x, y = n[row[first]], heads["n"][match[first]]
+    i, j = np.maximum.reduceat(place, first), np.maximum.reduceat(heads["pos"][match], first)
+    need = -(-THRESHOLD * (x + y) // (100 + THRESHOLD))
+    keep = shared + np.minimum(x - i, y - j) - 1 >= need
+    return pa.RecordBatch.from_arrays([pa.array(head[first][keep]), pa.array(rep[row[first]][keep])], ["a", "b"])
+
+
 def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star: DataFrame, star_path: str, k: int) -> tuple[DataFrame, str]:
     """Components, and their path, after all links among the classes in `apart`, by prefix and position filtering.
 
     Sets are put in one order, rare shingles first. Two sets of sizes x and y
-    that meet the threshold share o = ceil(t (x + y) / (1 + t)) shingles, so
-    behind the first shared one, at places i and j, min(x - i, y - j) >= o are
-    left in both. Documents that share a frequent passage and differ elsewhere
-    fail this before they are ever paired. In each shingle's group, heads from
+    that meet the threshold share o = ceil(t (x + y) / (1 + t)) shingles, one of
+    them in both prefixes (see `near_heads`). Documents that share a frequent
+    passage and differ elsewhere are never paired. In each shingle's group, heads from
     outside the group's largest component meet all others of another component;
     heads grow in number from round to round until none is left.
     """
@@ -271,18 +338,11 @@ def linked_exactly(apart: DataFrame, classes: DataFrame, texts: DataFrame, star:
             for path in (members_path, classes_path, found_path, *heads_paths):
                 drop_stored(spark, path)
             return star, star_path
-        # members of a frequent shingle are dealt to several places, and its heads go to each
-        every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place")
-        place = F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int").alias("place")
-        of_heads = left.join(heads, "rep", "left_semi").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "comp")], every)
-        others = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "comp")], place)
-        need = F.ceil(F.lit(THRESHOLD) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + THRESHOLD))
-        fits = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
-        pairs = of_heads.join(others, ["key", "place"]).filter((F.col("comp_a") != F.col("comp_b")) & fits)
-        pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        pairs, pairs_path = stored(near_heads(left, heads), "pairs")
         passed, passed_path = stored(likely(pairs, near_classes), "likely")
         after, after_path = stars(confirmed(passed, found, k).unionByName(star))
         drop_stored(spark, passed_path)
+        drop_stored(spark, pairs_path)
         drop_stored(spark, star_path)
         star, star_path = after, after_path
         spent = heads if spent is None else spent.unionByName(heads)

@@ -19,13 +19,19 @@ def sample(labelled: DataFrame, docs: DataFrame, per_label: int, longest: int) -
     """
     spark = docs.sparkSession
     fits = docs.filter(F.col("doc_id").isNotNull() & F.length("text").between(1, longest))
-    unit = F.xxhash64(F.col("doc_id").cast("bigint"))
+    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 40))
     ids = labelled.filter(F.col("label").isNotNull()).select("doc_id", "label").join(fits.select("doc_id"), "doc_id", "left_semi")
     # one label for an id that has several: the least
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("u", unit)
+    ids, ids_path = stored(ids, "labelled-ids")
+    counts = ids.groupBy("label").agg(F.count("*").alias("n"))  # one row a label
+    # a threshold leaves a little more than per_label rows of each label to be ranked, however many there are
+    under = F.floor(F.lit(1 << 40) * F.least(F.lit(1.0), (1.2 * per_label + 50) / F.col("n"))).alias("under")
+    few = ids.join(F.broadcast(counts.select("label", under)), "label").filter(F.col("u") <= F.col("under"))
     order = Window.partitionBy("label").orderBy("u", "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label", "u")
+    chosen = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label", "u")
     kept, path = stored(chosen, "sample-ids")
+    drop_stored(spark, ids_path)
     texts = fits.select("doc_id", "text").join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label", "u").agg(F.min("text").alias("text"))
     rows = texts.collect()
     drop_stored(spark, path)

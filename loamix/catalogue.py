@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamix.plans import answering, cleaning, describing, fetched, further, reporting, searching, serving
+from loamix.plans import answering, cleaning, describing, fetched, further, reporting, searching, serving, structure
 
-MODULES = (cleaning, describing, searching, serving, further, reporting, fetched, answering)
+MODULES = (cleaning, describing, searching, serving, further, reporting, fetched, answering, structure)
 QUERIES: dict = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -16,7 +16,7 @@ from loamix.operators import furniture
 SKIPPED = frozenset("script style noscript svg iframe template head".split())
 CHROME = frozenset("nav header footer aside form".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BREAKS = frozenset("p div section article main table tbody thead tr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote br hr".split())
+BREAKS = CHROME | frozenset("p div section article main table tbody thead tr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote br hr".split())
 #: Fixed value: words that stay though they are short.
 SHORT_WORDS = ("cs", "vc", "it", "hod", "bs", "ms", "phd")
 
@@ -24,8 +24,9 @@ SHORT_WORDS = ("cs", "vc", "it", "hod", "bs", "ms", "phd")
 class Lines(HTMLParser):
     """Lines of a page: # before headings, a bullet before list items, pipes around table cells; chrome is left out."""
 
-    def __init__(self) -> None:
+    def __init__(self, skipped: frozenset[str] = SKIPPED | CHROME) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.lines: list[str] = []
         self.held: list[str] = []
         self.off: list[str] = []  # open elements whose text is left out
@@ -42,7 +43,7 @@ class Lines(HTMLParser):
         self.mark = ""
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED or tag in CHROME:
+        if tag in self.skipped:
             self.off.append(tag)
         if self.off:
             return

@@ -39,6 +39,9 @@ FILTER, SEMESTER, PROFILE = re.compile(r"^All\b"), re.compile(r"^Sem\s*\d+", re.
 DOCUMENTS = (".pdf", ".doc", ".docx", ".xls", ".xlsx")
 CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|tel:|\+92[\s\-(]*\d|\(\d{3,4}\)\s*\d{5,}", re.I)
 UNIT = re.compile(r"^(department|directorate|office|cent(?:re|er))\b", re.I)
+TITLE = re.compile(r"^(Mr|Mrs|Ms|Miss|Dr|Prof|Engr)\b", re.I)
+STAFF_PHONE = re.compile(r"(?<![\w@.\-])(?:\+92|0)[\d\s\-()]{8,}\d(?:\s*\(Ext\.?\s*\d+\))?(?![\w])", re.I)
+NO_NAME, OFFICES = "Name not listed", "/offices/"
 HEAD_BADGES, HEAD_JOB = ("hod", "department head"), re.compile(r"\bHOD\b|head of|chairperson|chairman", re.I)
 
 
@@ -321,6 +324,34 @@ class Cleaner:
             if not card.lost():
                 replaced(card, person(card, owners, institution))
 
+    def staff(self) -> None:
+        """Cards of an office's staff as lines: boxes around one heading that names a person, has a contact or looks like such a box beside it."""
+        if not self.path.startswith(OFFICES):
+            return
+        heads = self.main.boxes(*HEADINGS)
+        many = held(heads)
+        found: dict[int, tuple[Box, str]] = {}
+        for head in heads:
+            box = head
+            while box.above is not self.main and many[id(box.above)] == 1:
+                box = box.above
+            if head.tag != "h1" and box is not head:
+                found.setdefault(id(box), (box, head.words()))
+        titled = Counter(id(box.above) for box, name in found.values() if TITLE.match(name))
+        linked = {i for i, (box, _) in found.items() if any(a.attrs.get("href", "").startswith(("mailto:", "tel:")) for a in box.boxes("a"))}
+        sure = {i for i, (box, name) in found.items() if i in linked and (not name or TITLE.match(name)) or TITLE.match(name) and titled[id(box.above)] > 1}
+        layout = lambda box: (id(box.above), box.tag, box.attrs.get("class"))
+        looks = {layout(found[i][0]) for i in sure}
+        cards = [(box, name) for i, (box, name) in found.items() if i in sure or name and not TITLE.match(name) and layout(box) in looks]
+        others = {job_of(box).lower(): name for i, (box, name) in reversed(found.items()) if TITLE.match(name) and i not in sure}
+        office = next((h.words() for h in heads if h.tag == "h1"), "")
+        kept = staff_kept([staff_entry(box, name, others, office) for box, name in cards])
+        for box, _ in cards:
+            if id(box) in kept:
+                replaced(box, [kept[id(box)]])
+            else:
+                box.drop()
+
     def addresses(self, base: str, site: str) -> list[str]:
         """Writes addresses that the words don't show behind them, and returns them."""
         kept: dict[str, None] = {}
@@ -392,6 +423,46 @@ def person(card: Box, owners: dict[str, str], institution: str) -> list[str]:
     return [line, f"{name} is the Head of the {unit} at the {institution}."] if head and unit else [line]
 
 
+def job_of(card: Box) -> str:
+    return next((t for t in (p.words() for p in card.boxes("p")) if t and not UNIT.match(t)), "")
+
+
+def staff_entry(card: Box, name: str, others: dict[str, str], office: str) -> dict:
+    """Who a card shows; a missing name may come from a box that shows the same job."""
+    job, text = job_of(card), card.words()
+    links = [a.attrs.get("href", "") for a in card.boxes("a")]
+    mails = [h[7:].split("?", 1)[0].strip() for h in links if h.startswith("mailto:")]
+    phones = [m.group(0).strip() for m in STAFF_PHONE.finditer(text)]
+    digits = {re.sub(r"\D", "", p) for p in phones}
+    phones += [h[4:].strip() for h in links if h.startswith("tel:") and h[4:].strip() and re.sub(r"\D", "", h[4:]) not in digits]
+    unit = next((t for t in (p.words() for p in card.boxes("p")) if UNIT.match(t)), office)
+    name = name or (others.get(job.lower(), "") if job else "") or NO_NAME
+    return {"card": id(card), "name": name, "told": ", ".join(t for t in (job, unit) if t), "mail": next((m for m in mails if "@" in m), ""), "phones": phones}
+
+
+def staff_kept(entries: list[dict]) -> dict[int, str]:
+    """card, line of the staff that stays: of one name the card with a mail, of one mail the first name."""
+    kept: dict[int, dict] = {}
+    by_name: dict[str, dict] = {}
+    owners: dict[str, str] = {}
+    for e in entries:
+        key = e["name"].lower()
+        twin = by_name.get(key) if e["name"] != NO_NAME else None
+        if twin is not None:
+            if twin["mail"] or not e["mail"]:
+                continue
+            del kept[twin["card"]], by_name[key]
+        mail = claimed(e["mail"], e["name"], owners)
+        if mail is not None:
+            kept[e["card"]] = by_name[key] = e | {"mail": mail}
+    lines = {}
+    for i, e in kept.items():
+        line = f"{e['name']} — {e['told']}." if e["told"] else f"{e['name']}."
+        line += f" Email: {e['mail']}." if e["mail"] else " Email not listed."
+        lines[i] = line + (f" Phone: {', '.join(e['phones'])}." if e["phones"] else "")
+    return lines
+
+
 def address(words: str, href: str, base: str, site: str) -> str:
     """What a link adds to its words: a mail, a number, another site's page or a document; empty if nothing."""
     low = href.lower()
@@ -441,6 +512,7 @@ def content(html: str | None, url: str, path: str, site: str, contact_page: bool
     c.placeholders()
     c.related()
     c.people(institution)
+    c.staff()
     sized(main)  # cards are sentences now
     c.answered(faq)
     c.courses(semesters)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamix.functions import text as T
 from loamix.functions import urls as U
 from loamix.operators import agents as A
 from loamix.operators import pages as P
@@ -20,11 +21,44 @@ COUNT_DEPARTMENTS = ("how many department", "list department", "all department",
 LIST_DEPARTMENTS = ("all departments name", "departments name", "tell me all department", "list departments", "how many department", "name all department")
 NEWS_WORDS = ("news", "latest", "recent", "events", "happening", "updates", "activities", "announcement")
 NEWS_QUERY = "university recent activities events sessions programs"
+#: Agents for the parts of a question, in this order; words for attendance, and those that ask for another rule.
+AGENTS = {
+    "faculty": ("who is", "hod", "head of", "dean", "registrar", "vc", "vice chancellor", "contact", "email", "phone", "teacher", "lecturer", "professor", "treasurer", "pro vc", "pro-vc"),
+    "policy": (
+        "attendance", "cgpa", "policy", "rule", "regulation", "absent", "freeze", "probation", "punishment", "plagiar", "discipline", "conduct", "harassment",
+        "grading", "grade", "gpa", "exam", "cheating", "sexual", "misconduct",
+    ),
+    "admissions": ("admission", "apply", "eligibility", "merit", "program", "undergraduate", "graduate", "documents"),
+    "fees": ("fee", "fees", "scholarship", "tuition", "challan"),
+    "campus": ("library", "bus", "transport", "hostel", "location", "located", "address", "where is", "where's"),
+}
+ATTENDANCE = ("attendance", "attandance", "attendence", "atandance", "absent", "miss class", "haazri", "75", "percent", "ghair haazir", "present in class")
+OTHER_RULES = ("harassment", "grading", "grade", "cgpa", "discipline", "plagiar", "conduct", "policy")
 LONGEST_REWRITE = 12
 SHORTEST_CHUNK, LONGEST_PROMPT = 50, 2000
 EXTRACTION = "entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,relation:string,target:string>>"
 
 
+def agent_of(part: Column) -> Column:
+    """The agent for one part of a question that asks for several things: the first whose words it holds."""
+    low = F.lower(part)
+    return F.coalesce(*[F.when(P.any_of(words, low), F.lit(agent)) for agent, words in AGENTS.items()], F.lit("general"))
+
+
+def searches_all(part: Column) -> Column:
+    """Whether a question on rules is searched for in all categories: one on attendance alone."""
+    low = F.lower(part)
+    return P.any_of(ATTENDANCE, low) & ~P.any_of(OTHER_RULES, low)
+
+
+def merged_parts(found: DataFrame, content: str = "content") -> DataFrame:
+    """query_id, chunk_id, new_rank of what the parts of a question found (query_id, part, rank, chunk_id): part by part, each content once."""
+    first = Window.partitionBy("query_id", F.sha2(F.coalesce(T.content_key(F.col(content)), F.lit("")), 256)).orderBy("part", "rank", "chunk_id")
+    once = found.withColumn("copy_", F.row_number().over(first)).filter("copy_ = 1")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank", "chunk_id"))
+    return once.select("query_id", "chunk_id", place.cast("bigint").alias("new_rank"))
+
+
 def campus_query(query: Column, rewrite: Column) -> Column:
     """What is searched for: the question itself if it asks for a place or contact, or if its rewrite is empty or long."""
     new = F.regexp_replace(F.coalesce(rewrite, F.lit("")), r"^\s+|\s+$", "")

@@ -8,7 +8,7 @@ from loamix.operators import dom as D
 from loamix.operators import routing as A
 from loamix.operators import upkeep as K
 from loamix.operators.pages import host
-from loamix.plans import table
+from loamix.plans import NORM, table
 from loamix.plans.answering import _LISTS, _POPS
 from loamix.plans.searching import BM25, bm25_rows, questions
 from loamix.plans.serving import _OR, TURNS, turns
@@ -18,7 +18,7 @@ CARDS = (
     '<p>Department of X</p><a href="mailto:A@x.org">mail</a><a href="tel:12">call</a><button>Profile</button></div><div><h3>dr. a</h3><a href="mailto:a@x.org">m</a><button>Profile</button></div>'
 )
 CARD_WORDS = "Dr. A Lecturer Department of X mail Profile B Chairperson Department of X mail call Profile dr. a m Profile"
-#: Address, and html before and after the text: trail and leftovers, landmarks, a contact page, a wide landmark, cards, bars and copies.
+#: Address, and html before and after the text: trail and leftovers, landmarks, a contact page, a wide landmark, cards, bars and copies; then staff.
 FORMS = (
     (
         "https://x.org/a", '<header>Site head</header><main id="main-content"><nav aria-label="Breadcrumb">Home</nav><p>',
@@ -38,6 +38,11 @@ REPLIES = (
     'Here:\n```json\n{"entities": [], "relationships": [{"source": "A", "relation": "r", "target": "B"}]}\n```',
     "no json", '{"entities": [{"name": "A"', "{}",
 )
+STAFF = (
+    '<div class="g"><div class="c"><h3>Mr. A</h3><p>Clerk</p><a href="mailto:a@x.org">m</a></div><div class="c"><h4>B C</h4><p>Helper</p></div><div class="c"><h3>mr. a</h3><p>Clerk</p></div></div>'
+)
+FORMS += (("https://x.org/offices/r", '<main id="main-content"><h1>Office R</h1><p>', f"</p>{STAFF}</main>"),)
+PART_LEADS = ("attendance rule ", "who is the head ", "", "bus and fee ")
 LEADS = ("list departments ", "latest news ", "", "how many students ")
 PICKS = (("en", 3), ("de", 5), ("fr", 2))
 
@@ -51,7 +56,7 @@ def documents(spark, sf_dir):
 
 
 def q_page_rules(spark, sf_dir):
-    """The tree rules on every text, set in six forms of page."""
+    """The tree rules on every text, set in seven forms of page."""
     part = lambda i: _of([form[i] for form in FORMS], "doc_id")
     text = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     pages = documents(spark, sf_dir).select("doc_id", part(0).alias("url"), F.concat(part(1), text, part(2)).alias("html"))
@@ -163,6 +168,16 @@ def q_general_branch(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join("b.branches", ",").alias("branches"), "b.search")
 
 
+def q_part_agents(spark, sf_dir):
+    asked = F.concat(_of(PART_LEADS, "turn"), F.col("text"))
+    return turns(spark, sf_dir).select("conv_id", "turn", A.agent_of(asked).alias("agent"), A.searches_all(asked).alias("searches_all"))
+
+
+def q_merged_parts(spark, sf_dir):
+    rows = bm25_rows(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")), "doc_id")
+    return A.merged_parts(rows.select("query_id", (F.col("doc_id") % 3).alias("part"), "rank", F.col("doc_id").alias("chunk_id"), "content"))
+
+
 def q_first_filled(spark, sf_dir):
     asked = questions(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("branches"))
     rows = bm25_rows(spark, sf_dir, 3).select("query_id", "doc_id")
@@ -209,18 +224,20 @@ def q_unextracted(spark, sf_dir):
 _BARE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang FROM documents)"
 _LINES = f"{_DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d)"
-_FOLDED = f"{_DOCS}, f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM d), g AS (SELECT doc_id, doc_id % 6 AS k, f, length(f) + (f <> '')::INT AS n FROM f)"
+_FOLDED = f"{_DOCS}, f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM d), g AS (SELECT doc_id, doc_id % 7 AS k, f, length(f) + (f <> '')::INT AS n FROM f)"
 _NL = "array_to_string(list_filter([{0}], lambda x: x <> ''), chr(10))"
 _KEEP = "[.,;()]+"
+_AGENTS = " ".join(f"WHEN {_OR(words, 'low')} THEN '{agent}'" for agent, words in A.AGENTS.items())
 
 SQL = {
     "q_page_rules": f"""WITH {_FOLDED}
-        SELECT doc_id, CASE WHEN k IN (0, 4, 5) THEN 'marked' WHEN k = 1 AND n + 1 > 100 THEN 'article' ELSE 'page' END AS main,
-        CASE k WHEN 0 THEN n + {len("Image Unavailable Back to list Form")} < 150 WHEN 4 THEN n + {len(CARD_WORDS)} < 150 WHEN 5 THEN n + {len("All Items One Related Official Notices other 1 Why? Because Why? Because")} < 150 ELSE false END AS empty,
+        SELECT doc_id, CASE WHEN k IN (0, 4, 5, 6) THEN 'marked' WHEN k = 1 AND n + 1 > 100 THEN 'article' ELSE 'page' END AS main,
+        CASE k WHEN 0 THEN n + {len("Image Unavailable Back to list Form")} < 150 WHEN 4 THEN n + {len(CARD_WORDS)} < 150 WHEN 5 THEN n + {len("All Items One Related Official Notices other 1 Why? Because Why? Because")} < 150 WHEN 6 THEN n + {len("Office R Mr. A Clerk m B C Helper mr. a Clerk")} < 150 ELSE false END AS empty,
         CASE k WHEN 0 THEN 'trail,placeholder,leftover' WHEN 5 THEN 'related,question,filter,filter' ELSE '' END AS dropped, CASE k WHEN 0 THEN 'https://other.org/a%20b.pdf' ELSE '' END AS addresses,
         CASE k WHEN 0 THEN {_NL.format("f, 'Form (https://other.org/a%20b.pdf)'")} WHEN 1 THEN {_NL.format("'# T', f")} WHEN 2 THEN {_NL.format("f, 'Call (824) 4100512'")}
           WHEN 3 THEN {_NL.format("CASE WHEN length(f) > 2000 THEN f ELSE '' END, 'tail'")}
           WHEN 4 THEN {_NL.format("f, 'Dr. A — Lecturer, Department of X. Email: a@x.org.', 'B — Chairperson, Department of X. Email not listed. Phone extension: 12.', 'B is the Head of the Department of X at the University.'")}
+          WHEN 6 THEN {_NL.format("'# Office R', f, 'Mr. A — Clerk, Office R. Email: a@x.org.', 'B C — Helper, Office R. Email not listed.'")}
           ELSE {_NL.format("f, '# Why?', 'Because'")} END AS text FROM g""",
     "q_page_pieces": f"""WITH {_LINES}, p AS (SELECT doc_id, pos * 10 AS y, 0 AS late, {_BARE.format("text")} AS s FROM l WHERE doc_id % 2 = 1 OR pos * 10 + 4 NOT BETWEEN 15 AND 36 UNION ALL SELECT doc_id, 15, 1, '| t |' FROM d WHERE doc_id % 2 = 0)
         SELECT doc_id, string_agg(s, chr(10) ORDER BY y, late) AS text FROM p WHERE s <> '' GROUP BY doc_id""",
@@ -256,6 +273,11 @@ SQL = {
     "q_general_branch": f"""WITH {TURNS}, a AS (SELECT conv_id, turn, list_extract({list(LEADS)!r}, (turn % 4 + 1)::BIGINT) || text AS q FROM turns), l AS (SELECT *, lower(q) AS low FROM a)
         SELECT conv_id, turn, concat(CASE WHEN {_OR(A.A.COUNT_WORDS, 'low')} AND NOT ({_LISTS}) AND len(list_filter([{_POPS}], lambda x: x IS NOT NULL)) > 0 THEN 'populations,' END, CASE WHEN {_OR(A.COUNT_DEPARTMENTS, 'low')} THEN 'departments,' END,
           CASE WHEN {_OR(A.LIST_DEPARTMENTS, 'low')} THEN 'department list,' END, 'search') AS branches, CASE WHEN {_OR(A.NEWS_WORDS, 'low')} THEN '{A.NEWS_QUERY}' ELSE q END AS search FROM l""",
+    "q_part_agents": f"""WITH {TURNS}, l AS (SELECT conv_id, turn, lower(list_extract({list(PART_LEADS)!r}, (turn % 4 + 1)::BIGINT) || text) AS low FROM turns)
+        SELECT conv_id, turn, CASE {_AGENTS} ELSE 'general' END AS agent, {_OR(A.ATTENDANCE, 'low')} AND NOT {_OR(A.OTHER_RULES, 'low')} AS searches_all FROM l""",
+    "q_merged_parts": f"""WITH {BM25}, l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {NORM.format('x')}), lambda x: x <> '') AS key FROM documents),
+        r AS (SELECT query_id, doc_id, doc_id % 3 AS part, rank, row_number() OVER (PARTITION BY query_id, key ORDER BY doc_id % 3, rank, doc_id) AS copy FROM best JOIN l USING (doc_id) WHERE rank <= 10)
+        SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank, doc_id) AS new_rank FROM r WHERE copy = 1""",
     "q_first_filled": f"WITH {BM25} SELECT query_id, doc_id, CASE WHEN query_id % 6 = 0 THEN 'a' ELSE 'b' END AS branch FROM best WHERE rank <= 3",
     "q_faculty_order": f"""WITH {BM25}, r AS (SELECT query_id, doc_id, rank, score AS v, doc_id % 4 = 0 AS f, CASE WHEN query_id % 2 = 1 THEN score ELSE 1 END AS s, row_number() OVER (PARTITION BY query_id, coalesce(text, '') ORDER BY rank, doc_id) AS copy FROM best JOIN documents USING (doc_id) WHERE rank <= 10),
         t AS (SELECT query_id, count(*) AS n, count(DISTINCT s) AS ss, count_if(f) AS late FROM r WHERE copy = 1 GROUP BY ALL), o AS (SELECT *, ss <= 1 AND n BETWEEN 2 AND 10 AS mute FROM r JOIN t USING (query_id) WHERE copy = 1)

@@ -62,6 +62,21 @@ def test_addresses():
     assert out["addresses"] == ["https://y.org/"] and out["dropped"] == ["leftover"]
 
 
+def test_staff():
+    card = lambda inner, kind="c": f"<div class={kind}>{inner}</div>"
+    roster = [
+        "<h3>Ms. A</h3><p>Clerk</p>", "<h3>Mr. B</h3><p>Directorate of X</p><p>Head</p><a href='mailto:b@x.org?s=1'>m</a>", "<h3>ms. a</h3><p>Clerk</p><a href='mailto:a@x.org'>m</a><i>0824 410051 (Ext. 3)</i>",
+        "<h4>C</h4><p>Helper</p><a href='mailto:A@X.org'>m</a>", "<h4></h4><p>registrar</p><a href='tel:+92 12'>t</a>",
+    ]
+    html = "<main id=main-content><h1>Office</h1><section><h2>Dr. R</h2><p>Registrar</p></section><div>" + "".join(map(card, roster)) + "</div><div><h3>Hours</h3><p>9 to 5</p></div></main>"
+    lines = [
+        "# Office", "# Dr. R", "Registrar", "Mr. B — Head, Directorate of X. Email: b@x.org.", "ms. a — Clerk, Office. Email: a@x.org. Phone: 0824 410051 (Ext. 3).",
+        "C — Helper, Office. Email not listed.", "Dr. R — registrar, Office. Email not listed. Phone: +92 12.", "# Hours", "9 to 5",
+    ]
+    assert page(html, path="/offices/r")["lines"] == lines
+    assert "Mr. B" in " ".join(page(html)["lines"]) and "Email" not in " ".join(page(html)["lines"])
+
+
 def test_deep_and_odd_pages(spark):
     deep = "<div>" * 5000 + "<button>All x</button><button>y</button>" + "text " * 50 + "</div>" * 5000
     wide = "".join(f"<a href='/{i}'>word{i}<b>" for i in range(3000))

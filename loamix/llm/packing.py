@@ -37,13 +37,17 @@ SHARD_TOKENS = 2_000_000
 #: A term that at least one in so many of a shard's documents hold keeps a weight for each document, any other term keeps postings.
 DENSE_SHARE = 4
 K1, B = 1.5, 0.75
-#: Distinct words whose ids a worker remembers in one of two generations, about 200 bytes each; let go once they are packed.
+#: Distinct parts of words whose ids a worker remembers in one of two generations, about 200 bytes each; let go once they are packed.
 REMEMBERED = 600_000
-#: Texts of these characters alone are split at white space before their words are looked up;
+#: Texts of these characters alone, all of Latin-1, are cut into parts before those are looked up;
 #: any other text is encoded as a whole. Both give the same ids.
 PLAIN = re.compile("[\t\n\r\x20-\x3b=-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
-#: How the tokenizer cuts such a text's words before it merges (a fixed value, for these characters).
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: How the tokenizer cuts such a text, lower-cased, before it merges (fixed values, for these characters): at white space, around
+#: runs of letters and of marks, and around each digit. An apostrophe alone takes the letters of these endings along.
+SPACE, LETTER, DIGIT, MARK = range(4)
+KIND = np.array([SPACE if chr(b) in "\t\n\r " else DIGIT if 48 <= b <= 57 else LETTER if 97 <= b <= 122 or b >= 223 and b != 247 else MARK for b in range(256)], np.uint8)
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+LATIN_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
 #: The letters that stand for bytes which print nothing in byte-level vocabularies: 256 and up, in order.
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -56,22 +60,18 @@ def default_tokenizer() -> str:
 
 
 class Known(dict):
-    """Ids of words as bytes; a new word is merged when it is first asked for. Two generations are kept."""
+    """Ids of parts of words as bytes; a new part is merged when it is first asked for. Two generations are kept."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge, self.before = merge, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part)
         if ids is None:
-            parts = (word,) if word.isalpha() else PARTS.findall(word)
-            if len(parts) > 1:
-                ids = b"".join([self[p] for p in parts])
-            else:
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = packed_ids([t.id for t in self.merge(letters)])
-        self[word] = ids
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = packed_ids([t.id for t in self.merge(letters)])
+        self[part] = ids
         return ids
 
     def turn(self) -> None:
@@ -80,6 +80,23 @@ class Known(dict):
             self.clear()
 
 
+def part_starts(raw: np.ndarray) -> np.ndarray:
+    """Whether a part of a word, or white space, begins at each of the lower-cased Latin-1 characters."""
+    kind = KIND[raw]
+    first = np.ones(len(raw), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    at = np.flatnonzero(raw == ord("'"))
+    if len(at):
+        beside = np.pad(raw, (1, 3), constant_values=ord(" "))
+        at = at[(KIND[beside[at]] != MARK) & (KIND[beside[at + 2]] != MARK)]
+        for ending in ENDINGS:
+            has = at[np.logical_and.reduce([beside[at + 2 + i] == ord(c) for i, c in enumerate(ending)])]
+            first[has + 1] = False
+            after = has + 1 + len(ending)
+            first[after[after < len(raw)]] = True
+    return first
+
+
 def packed_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if NATIVE else np.asarray(ids, "<u4").tobytes()
 
@@ -90,7 +107,7 @@ class Encoder:
     The tokenizer lower-cases, never joins across white space and cuts words
     into runs of letters, single digits and runs of marks before it merges. So
     the ids of a plain text are those of such parts one after the other, which
-    repeat often and are remembered.
+    repeat far more often than words and are remembered.
     """
 
     def __init__(self, path: str):
@@ -98,26 +115,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_parts = cuts_as_known(self.tokenizer)
         self.known = Known(self.tokenizer.model.tokenize)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.by_parts = self.cuts_as_known()
+
+    def cuts_as_known(self) -> bool:
+        """Whether the tokenizer cuts a sample of plain text as `part_starts` does, lower-cased and without joining across white space."""
+        sample = "It's THE 1st e-mail (of 23): we'll go!? Ça été\tÜber--naïve\nx.y_z 'tis don'T ''s they're'd"
+        try:
+            return self.of_parts([sample])[0].tolist() == self.tokenizer.encode(sample, add_special_tokens=False).ids
+        except Exception:  # a model that can't be asked for one part
+            return False
+
+    def of_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`stream` of plain texts. Equal parts are looked up once; their ids are then dealt out to the places where they stand."""
+        coded = [t.encode("latin-1") for t in texts]
+        raw = np.frombuffer(b"\n".join(coded).translate(LATIN_LOWER), np.uint8)
+        begin = np.cumsum([0] + [len(c) + 1 for c in coded])
+        first, solid = part_starts(raw), KIND[raw] != SPACE
+        letters = raw[solid]
+        cuts = np.append(np.flatnonzero(first[solid]), len(letters))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+        _, at, distinct = parts.dictionary.buffers()
+        own = distinct.to_pybytes().decode("latin-1") if distinct else ""
+        at = np.frombuffer(at, np.int64)[: len(parts.dictionary) + 1].tolist()
+        found = [self.known[own[a:b]] for a, b in zip(at, at[1:])]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        counts = np.array([len(f) for f in found], np.int64) // 4
+        codes = parts.indices.to_numpy()
+        each = counts[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        whole = ids[np.repeat((np.cumsum(counts) - counts)[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        return whole, np.diff(ends[np.searchsorted(np.flatnonzero(first & solid), begin)])
+
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         self.known.turn()
-        of = self.known.__getitem__
-        return [
-            b"".join(map(of, t.lower().split())) if self.by_parts and PLAIN.fullmatch(t) else packed_ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            for t in texts
-        ]
-
+        plain = [self.by_parts and PLAIN.fullmatch(t) is not None for t in texts]
+        whole, sizes = self.of_parts([t if p else "" for t, p in zip(texts, plain)])
+        if all(plain):
+            return whole, sizes
+        parts = np.split(whole, np.cumsum(sizes)[:-1])
+        parts = [x if p else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for x, t, p in zip(parts, texts, plain)]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
-def cuts_as_known(tokenizer) -> bool:
-    """Whether the tokenizer cuts a sample of plain text as `PARTS` does, lower-cased and without joining across white space."""
-    sample = "It's THE 1st e-mail (of 23): we'll go!? Ça été\tÜber--naïve\nx.y_z 'tis don'T"
-    known = Known(tokenizer.model.tokenize)
-    try:
-        return b"".join(map(known.__getitem__, sample.lower().split())) == packed_ids(tokenizer.encode(sample, add_special_tokens=False).ids)
-    except Exception:  # a model that can't be asked for one word
-        return False
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
+        if not texts:
+            return []
+        ids, sizes = self.stream(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
 def vocabulary_of(path: str) -> int:
@@ -148,15 +194,12 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = worker_encoder(tokenizer)
         for batch in (part for whole in batches for part in sliced(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, sizes, places = [], [], []
-            for i in range(0, len(texts), 256):
-                for raw in encoder.encode(texts[i : i + 256]):
-                    tokens = np.append(np.frombuffer(raw, "<u4"), np.uint32(END)).astype("<u2")
-                    ids.append(tokens.tobytes())
-                    sizes.append(len(tokens))
-                    places.append(place_of(tokens))
+            raw, sizes = encoder.stream(texts)
+            tokens = np.insert(raw, np.cumsum(sizes), END).astype("<u2")
+            at = np.concatenate([[0], np.cumsum(sizes + 1)])
+            ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(2 * at), pa.py_buffer(tokens)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, pa.int64())],
+                [batch.column("doc_id"), ids, pa.array(sizes + 1), pa.array(places_of(tokens, at))],
                 ["doc_id", "ids", "n", "place"],
             )
 
@@ -173,6 +216,21 @@ def place_of(tokens: np.ndarray) -> int:
     return int(mix(runs).min().view(np.int64))
 
 
+def places_of(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`place_of` of each text; the texts' tokens stand one after the other, at[i] to at[i + 1]."""
+    x = tokens.astype(np.uint64)
+    start, end = at[:-1], at[1:]
+    out = np.zeros(len(start), np.int64)
+    long = end - start >= 4
+    if long.any():
+        runs = mix(x[:-3] << np.uint64(48) | x[1:-2] << np.uint64(32) | x[2:-1] << np.uint64(16) | x[3:])
+        spans = np.stack([start[long], end[long] - 3], 1).ravel()  # every other span is that between two texts
+        out[long] = np.minimum.reduceat(np.append(runs, np.uint64(0)), spans)[::2].view(np.int64)
+    for i in np.flatnonzero(~long).tolist():
+        out[i] = place_of(tokens[start[i] : end[i]])
+    return out
+
+
 def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """In how many documents each id occurs, over all documents; one number per id of the vocabulary."""
 

@@ -25,6 +25,22 @@ def test_encoder_gives_the_tokenizers_ids(texts):
         assert np.frombuffer(raw, "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet="'strevmld1!\xe9\xd7\xf7\xdf \n", max_size=25), min_size=1, max_size=4))
+def test_endings_after_apostrophes(texts):
+    assert OWN.by_parts
+    for text, raw in zip(texts, OWN.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_places_of_many_texts():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 9, n).astype("<u2") for n in [*range(1, 9), 400, 3, 2, 50, 4]]
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    assert P.places_of(np.concatenate(docs), at).tolist() == [P.place_of(d) for d in docs]
+    assert P.places_of(docs[0], np.array([0, 1])).tolist() == [P.place_of(docs[0])] and len(P.places_of(docs[0][:0], np.array([0]))) == 0
+
+
 def test_pieces(spark):
     texts = [f"Some words of document {i} " * (i % 40) for i in range(150)] + [None, "", "same", "same", "long words here " * 4000]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, length int")

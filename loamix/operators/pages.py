@@ -226,13 +226,15 @@ def line_classes(text: Column) -> Column:
 
 def is_boilerplate(text: Column, signal: str = CONTACT_SIGNAL) -> Column:
     """An error page or a block of contact fields: short, with a contact signal, no role and no verb. signal: the site's own address may join."""
-    block = text.rlike(signal) & ~text.rlike(ROLE_WORD) & ~text.rlike(VERB)
-    return F.coalesce((F.length(text) <= BOILERPLATE_CHARS) & (text.rlike(T.DEAD_PAGE) | block), F.lit(False))
+    has = lambda pattern: text.rlike(T.as_re2(pattern))
+    block = has(signal) & ~has(ROLE_WORD) & ~has(VERB)
+    return F.coalesce((F.length(text) <= BOILERPLATE_CHARS) & (has(T.DEAD_PAGE) | block), F.lit(False))
 
 
 def boilerplate_penalty(query: Column, text: Column) -> Column:
     """What furniture loses in a ranking; an error page always, a contact block unless contact details are asked for."""
-    return F.when(is_boilerplate(text) & (text.rlike(T.DEAD_PAGE) | ~query.rlike(ASKS_CONTACT)), PENALTY).otherwise(0.0)
+    dead, asks = text.rlike(T.as_re2(T.DEAD_PAGE)), query.rlike(T.as_re2(ASKS_CONTACT))
+    return F.when(is_boilerplate(text) & (dead | ~asks), PENALTY).otherwise(0.0)
 
 
 # -- images, files, click targets -----------------------------------------------------------------------------------------------

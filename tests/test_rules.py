@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from loamix.functions import text
 from loamix.operators import agents, dialogue, graph, pages, retrieval, tables
 from loamix.sources import scratch
 
@@ -25,6 +27,14 @@ def test_page_rules(spark):
     assert [[tuple(c) for c in x] for x in found] == [[("Programs", 18), ("Departments", 11), ("Events", 4), ("and Labs", 5)], []]
 
 
+def test_word_edges_of_furniture(spark):
+    """An accented letter ends a word, as in the SQL; \u017f and \u212a are letters of either case."""
+    told = ["xñdo a@b.org", "doó a@b.org", "xdo a@b.org", "é404ö", "x404ö", "wa\u017f a@b.org", "i\u017f a@b.org", "can\u2019t \u212a a@b.org", "bac\u212a to home"]
+    dead = text.DEAD_PAGE.replace("'", "''")
+    assert values(spark, pages.is_boilerplate, told) == [duckdb.execute(f"SELECT regexp_matches($1, '{dead}') OR (regexp_matches($1, '{pages.CONTACT_SIGNAL}') AND NOT regexp_matches($1, '{pages.VERB}'))", [x]).fetchone()[0] for x in told]
+    assert values(spark, pages.is_boilerplate, told[:4]) == [False, False, True, True]
+
+
 def test_links(spark):
     base, home = F.lit("https://www.x.org/a/b.html?q=1"), F.lit("x.org")
     told = values(spark, lambda h: pages.clean_link(h, base, home)["url"], ["c/", "../d.pdf#p", "/E/", "//x.org/f", "https://y.org/", "?p=2", "mailto:a@b", "i.png", "g.docx", "#top"])

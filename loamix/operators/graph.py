@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -45,36 +46,83 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def greedy_modularity(edges: list[tuple[str, str]], total: int) -> dict[str, str]:
-    """Merges the pair of communities with the largest gain while there is one; ties fall to the first names."""
+    """Merges the pair of communities with the largest gain while there is one; ties fall to the first names.
+
+    Gains are whole numbers, 2 * total * weight - degree * degree. Of two
+    neighbours the one with more neighbours holds the pair, in a lot of all its
+    pairs of the same weight and other degree, of which the first name is the
+    best. The heap has one entry a lot; its gain only falls while the holder
+    grows, so a lot that comes up with an older gain goes back with its own.
+    """
     degree: dict[str, int] = defaultdict(int)
-    between: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+    near: dict[str, dict[str, int]] = defaultdict(dict)
     for a, b in edges:
         degree[a] += 1
         degree[b] += 1
         if a != b:
-            between[a][b] += 1
-            between[b][a] += 1
-    home = {n: n for n in degree}
-    share = {n: d / (2 * total) for n, d in degree.items()}
-    while True:
-        best = max(((w / total - 2 * share[a] * share[b], a, b) for a in sorted(between) for b, w in sorted(between[a].items()) if a < b), key=lambda x: x[0], default=None)
-        if best is None or best[0] <= 1e-12:
-            return home
-        _, a, b = best
-        for n, c in home.items():
-            if c == b:
-                home[n] = a
-        share[a] += share.pop(b)
-        for c, w in between.pop(b).items():
-            between[c].pop(b)
+            near[a][b] = near[b][a] = near[a].get(b, 0) + 1
+    members = {n: [n] for n in degree}
+    holders: dict[str, set[str]] = {n: set() for n in degree}  # who holds pairs with it
+    lots: dict[str, dict[tuple[int, int], list[str]]] = {n: {} for n in degree}
+    listed: dict[tuple[str, int, int], tuple[int, str, str]] = {}  # the valid entry of a lot
+    heap: list[tuple[tuple[int, str, str], tuple[str, int, int]]] = []
+
+    def put(holder: str, w: int, d: int) -> None:
+        """Lists the lot by its first valid name, if it gains and isn't listed before that."""
+        names, at = lots[holder].get((w, d), []), (holder, w, d)
+        while names and not (holder in holders.get(names[0], ()) and degree[names[0]] == d and near[holder].get(names[0]) == w):
+            heapq.heappop(names)
+        value = 2 * total * w - degree[holder] * d
+        if names and value > 0:
+            key = (-value, min(holder, names[0]), max(holder, names[0]))
+            if at not in listed or key < listed[at]:
+                listed[at] = key
+                heapq.heappush(heap, (key, at))
+        elif not names:
+            lots[holder].pop((w, d), None)
+
+    def hold(a: str, b: str) -> None:
+        holder, other = (a, b) if len(near[a]) >= len(near[b]) else (b, a)
+        holders[other].add(holder)
+        holders[holder].discard(other)
+        w, d = near[a][b], degree[other]
+        heapq.heappush(lots[holder].setdefault((w, d), []), other)
+        put(holder, w, d)
+
+    for a in list(near):
+        for b in near[a]:
+            if a < b:
+                hold(a, b)
+    while heap:
+        key, at = heapq.heappop(heap)
+        if listed.get(at) != key:
+            continue
+        del listed[at]
+        holder, w, d = at
+        if holder not in lots:
+            continue
+        put(*at)
+        if listed.get(at) != key:
+            continue
+        _, a, b = key
+        degree[a] += degree.pop(b)
+        members[a] += members.pop(b)
+        del lots[b], holders[b]
+        changed = set()
+        for c, n in near.pop(b).items():
+            del near[c][b]
+            holders[c].discard(b)
             if c != a:
-                between[a][c] += w
-                between[c][a] += w
+                near[a][c] = near[c][a] = near[a].get(c, 0) + n
+                changed.add(c)
+        for c in changed | holders[a]:
+            hold(a, c)
+    return {n: a for a, own in members.items() for n in own}
 
 
 def communities(edges: DataFrame) -> DataFrame:
     """node, community: greedy modularity within each connected part, with the edge count of the whole graph."""
-    pairs = edges.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = stored(edges.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "graph-pairs")
     total = pairs.count()
     parts = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     tagged = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a")

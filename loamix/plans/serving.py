@@ -78,10 +78,10 @@ def q_graph_edges(spark, sf_dir):
 
 def line_edges(spark, sf_dir):
     """Documents tied to the lines that they share with others."""
-    keys = O.page_keys(table(spark, sf_dir, "documents"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df >= 2 and length(key) > 30")
-    rows = keys.join(shared, "key", "left_semi")
-    return rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("k"), F.md5(F.col("key").cast("binary"))).alias("dst"))
+    keys = O.page_keys(table(spark, sf_dir, "documents")).filter("length(key) > 30")
+    rows = keys.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("k"), F.md5(F.col("key").cast("binary"))).alias("dst"))
+    shared = rows.groupBy("dst").agg(F.count("*").alias("df")).filter("df >= 2")
+    return rows.join(shared, "dst", "left_semi").select("src", "dst")
 
 
 LINE_EDGES = f"""{LINES}, links AS (SELECT DISTINCT 'd' || doc_id::VARCHAR AS a, 'k' || md5(key) AS b FROM keyed WHERE key IN (SELECT key FROM freq WHERE df >= 2 AND length(key) > 30)),

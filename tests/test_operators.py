@@ -1,6 +1,7 @@
 """Rules on small cases, and window forms against loops."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -108,6 +109,48 @@ def test_graph(spark):
     assert homes["a"] == homes["b"] == homes["c"] != homes["d"] == homes["e"] == homes["f"] and homes["x"] == homes["y"]
 
 
+def slow_modularity(edges, total):
+    degree, between = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for a, b in edges:
+        degree[a] += 1
+        degree[b] += 1
+        if a != b:
+            between[a][b] += 1
+            between[b][a] += 1
+    home = {n: n for n in degree}
+    while True:
+        gains = [(2 * total * w - degree[a] * degree[b], a, b) for a in sorted(between) for b, w in sorted(between[a].items()) if a < b]
+        best = max(gains, key=lambda x: x[0], default=(0,))
+        if best[0] <= 0:
+            return home
+        _, a, b = best
+        home = {n: a if c == b else c for n, c in home.items()}
+        degree[a] += degree.pop(b)
+        for c, w in between.pop(b).items():
+            between[c].pop(b)
+            if c != a:
+                between[a][c] += w
+                between[c][a] += w
+
+
+def test_greedy_modularity_merges_the_best_pair():
+    rng = random.Random(7)
+    for case in range(120):
+        n, lines = rng.randint(2, 50), rng.choice([2, 6, 20])
+        edges = sorted({(f"d{rng.randint(0, n)}", f"k{rng.randint(0, lines)}" if case % 2 else f"d{rng.randint(0, n)}") for _ in range(rng.randint(1, 120))})
+        total = len(edges) * rng.choice([1, 3])
+        assert graph.greedy_modularity(edges, total) == slow_modularity(edges, total)
+
+
+def test_greedy_modularity_of_large_groups():
+    """Two lines that thousands of documents share: a search of all pairs at each merge takes hours."""
+    edges = [(f"d{i:05d}", f"k{i // 4000}") for i in range(8000)] + [("d00000", "k1")]
+    began = time.process_time()
+    homes = graph.greedy_modularity(edges, len(edges))
+    assert len(set(homes.values())) == 2 and homes["d00001"] == homes["k0"] != homes["k1"] == homes["d07999"]
+    assert time.process_time() - began < 30
+
+
 def test_ingest(spark):
     old = spark.createDataFrame([("same", "text"), ("changed", "old"), ("image", "body"), ("gone", "kept")], "source string, text string")
     stored = ingest.with_page_hash(old).select("source", "page_hash")

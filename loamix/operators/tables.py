@@ -93,10 +93,10 @@ def nearest_row(cells: DataFrame, page: str = "page_id") -> DataFrame:
     both = cells.withColumn("v__", F.col("y") + F.col("h") / 2).withColumn("own__", F.lit(None).cast("bigint"))
     names = [c for c in cells.columns if c != page]
     marks = centres.select(page, *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in names], "v__", F.col("row_no").alias("own__"))
-    order = Window.partitionBy(page).orderBy("v__")
+    order, back = (Window.partitionBy(page).orderBy(c) for c in (F.col("v__"), F.col("v__").desc()))
     mark = F.when(F.col("own__").isNotNull(), F.struct("v__", "own__"))
     placed = both.select(page, *names, "v__", "own__").unionByName(marks)
-    placed = placed.withColumn("before", F.last(mark, ignorenulls=True).over(order)).withColumn("behind", F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    placed = placed.withColumn("before", F.last(mark, ignorenulls=True).over(order)).withColumn("behind", F.last(mark, ignorenulls=True).over(back))  # a frame open at its end would be read anew for each cell
     up, down = F.col("v__") - F.col("before.v__"), F.col("behind.v__") - F.col("v__")
     row = F.when(F.col("behind").isNull() | (up <= down), F.col("before.own__")).otherwise(F.col("behind.own__"))
     return placed.filter(F.col("own__").isNull()).withColumn("row_no", row).select(*cells.columns, "row_no")

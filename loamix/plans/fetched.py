@@ -141,7 +141,7 @@ def q_click_targets(spark, sf_dir):
 
 def q_cell_bands(spark, sf_dir):
     """Cells by the column that they overlap most and the row whose centre is nearest."""
-    all_cells = cells(spark, sf_dir)
+    all_cells = cells(spark, sf_dir, dealt=True)
     placed = B.by_overlap(B.nearest_row(all_cells), B.column_bands(all_cells))
     return placed.groupBy("page_id", "row_no", "band").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
 

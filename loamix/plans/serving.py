@@ -240,10 +240,10 @@ def q_upserted(spark, sf_dir):
     return I.upserted(*snapshots(spark, sf_dir))
 
 
-def cells(spark, sf_dir):
-    """Positioned words by rule: rows of a page with gaps, cells at steps."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", " ")).alias("p", "text"))
+def cells(spark, sf_dir, dealt=False):
+    """Positioned words by rule: rows of a page with gaps, cells at steps. dealt: the texts are dealt by page first, so that the cells needn't be."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    words = (docs.repartition("page_id") if dealt else docs).select("page_id", F.posexplode(F.split("text", " ")).alias("p", "text"))
     row, col = F.floor(F.col("p") / 4), F.col("p") % 4
     return words.select("page_id", (col * 90 + row % 3).cast("double").alias("x0"), (col * 90 + 60).cast("double").alias("x1"), (row * 18 + col % 2).cast("double").alias("y"),
                         F.lit(10.0).alias("h"), "text", (0.1 + F.col("p") % 7 * 0.1).alias("conf"))

@@ -1,6 +1,7 @@
 """Rules on pages and answers, stored indexes and graphs, on small cases."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -119,3 +120,12 @@ def test_nearest_row(spark):
     cells = [(1, 0.0, 5.0, y, 2.0, "t", c) for y, c in ((0.0, 0.9), (0.5, 0.9), (10.0, 0.9), (4.0, 0.1), (6.0, 0.1), (5.125, 0.1))]
     frame = spark.createDataFrame(cells, "page_id long, x0 double, x1 double, y double, h double, text string, conf double")
     assert {r["y"]: r["row_no"] for r in tables.nearest_row(frame).collect()} == {0.0: 0, 0.5: 0, 10.0: 1, 4.0: 0, 6.0: 1, 5.125: 0}
+
+
+def test_nearest_row_of_a_long_page(spark):
+    """30,000 rows of a page: a window that is open at its end reads as many rows again for each cell."""
+    n = 30_000
+    frame = spark.range(n).select(F.lit(1).alias("page_id"), F.lit(0.0).alias("x0"), F.lit(5.0).alias("x1"), (F.col("id") * 18.0).alias("y"), F.lit(10.0).alias("h"), F.lit("t").alias("text"), F.lit(0.9).alias("conf"))
+    began = time.time()
+    wrong = tables.nearest_row(frame).filter("row_no <> y / 18").count()
+    assert wrong == 0 and time.time() - began < 60
